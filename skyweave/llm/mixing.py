@@ -4,8 +4,8 @@ A document of a source whose target is r times its size is copied floor(r) times
 with probability frac(r).  These extra copies are settled by the pivotal method: two fractional
 units move mass (probability times size) between them at random, such that each keeps its expected
 value, until one is 0 or 1; the other goes on.  Units meet in buckets of a fixed tree, whose
-residuals meet in the next level's buckets, until a source has one residual, which is rounded at
-random.  So a source's copied words differ from its target by less than one document.
+residuals meet in the next level's buckets, until a source has one residual, which is rounded to
+the nearer side.  So a source's copied words differ from its target by half a document at most.
 
 All random numbers are hashes of a seed and the document ids, so that reruns agree.
 """
@@ -128,7 +128,7 @@ def mix(docs: DataFrame, key: str, source: str, size: Column, weights: Sequence[
         done.append(table.select(F.explode("s.done").alias("u")))
         left = table.select("__source", "bucket", F.explode("s.open").alias("u"))
         if width <= 1:
-            last = F.when(_uniform(F.lit(seed), F.lit(-1), F.col("u.id")) < F.col("u.p"), F.lit(1.0)).otherwise(F.lit(0.0))
+            last = F.when(F.col("u.p") >= 0.5, F.lit(1.0)).otherwise(F.lit(0.0))
             done.append(left.select(F.col("u").withField("p", last).alias("u")))
             break
         placed = left.select("__source", F.floor(F.col("bucket") / FAN_IN).alias("bucket"), "u.*")
