@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, sharding
+from . import chat, language, media, mixing, sharding, simhash
 
 SHARDS = 24
 #: A conversation that holds the format's control strings.
 EXTRA_CONVERSATION, EXTRA_TEXT = -7, r"\### Assistant: </turn> ok"
 
 
+def op1_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    apart = language.held_out(F.col("doc_id"))
+    profiles = language.fit(docs.where(~apart), "doc_id", "text", "lang")
+    return language.identify(docs.select("doc_id", apart.alias("held_out"), "text"), "text", profiles)
+
+
+def op2_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = simhash.near_duplicates(docs, "doc_id", "text")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit("")).cast("binary")
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -68,6 +81,8 @@ def op7_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_rank_order_language": op1_rank_order_language,
+    "op2_gray_simhash": op2_gray_simhash,
     "op3_rendezvous_sharding": op3_rendezvous_sharding,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_pivotal_mixing": op6_pivotal_mixing,
