@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, media, mixing, sharding, simhash
+from . import chat, language, media, mixing, sentencepieces, sharding, simhash
 
 SHARDS = 24
+#: Where the public tokenizer model is; read on the driver.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: A conversation that holds the format's control strings.
 EXTRA_CONVERSATION, EXTRA_TEXT = -7, r"\### Assistant: </turn> ok"
 
@@ -80,6 +82,14 @@ def op7_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_transducer_pieces(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    machine = sentencepieces.load(model)
+    read = sentencepieces.decode(sentencepieces.encode(docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)), "text", machine), "ids", machine)
+    back = F.sha2("text", 256)
+    return read.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.length("text").cast("long").alias("decoded_chars"), back.alias("decoded_sha256"), (back == F.col("text_sha256")).alias("round_trip"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rank_order_language": op1_rank_order_language,
     "op2_gray_simhash": op2_gray_simhash,
@@ -87,5 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_formatting": op5_chat_formatting,
     "op6_pivotal_mixing": op6_pivotal_mixing,
     "op7_png_media": op7_png_media,
+    "op8_transducer_pieces": op8_transducer_pieces,
 }
 ORACLE_SQL: dict[str, str] = {"op5_chat_formatting": OP5_SQL}
