@@ -7,12 +7,25 @@ are joined, so that Spark can split the join of a node with very many edges.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import Table, write
 
 
+def forest(i: np.ndarray, j: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """For each entry of ``name``, the smallest name that the pairs of indices i, j lead to; for graphs in memory."""
+    least = name.copy()
+    while True:
+        new = least.copy()
+        np.minimum.at(new, i, least[j])
+        np.minimum.at(new, j, new[i])
+        if (new == least).all():
+            return least
+        least = new
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, media, mixing, sentencepieces, sharding, simhash
+from . import chat, embeddings, language, media, mixing, sentencepieces, sharding, simhash
 
 SHARDS = 24
 #: Where the public tokenizer model is; read on the driver.
@@ -90,6 +90,10 @@ def op8_transducer_pieces(spark: SparkSession, sf_dir: str, model: str = MODEL)
     return read.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.length("text").cast("long").alias("decoded_chars"), back.alias("decoded_sha256"), (back == F.col("text_sha256")).alias("round_trip"))
 
 
+def op9_kmeans_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rank_order_language": op1_rank_order_language,
     "op2_gray_simhash": op2_gray_simhash,
@@ -98,5 +102,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pivotal_mixing": op6_pivotal_mixing,
     "op7_png_media": op7_png_media,
     "op8_transducer_pieces": op8_transducer_pieces,
+    "op9_kmeans_embeddings": op9_kmeans_embeddings,
 }
 ORACLE_SQL: dict[str, str] = {"op5_chat_formatting": OP5_SQL}

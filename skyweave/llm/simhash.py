@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, forest
 from .store import materialize, write
 
 SHINGLE, SEED, BITS = 3, 42, 2
@@ -92,18 +92,6 @@ def linked_pairs(fp: np.ndarray, node: np.ndarray, bits: int = BITS) -> tuple[np
     return i[i < j], j[i < j]
 
 
-def _forest(i: np.ndarray, j: np.ndarray, name: np.ndarray) -> np.ndarray:
-    """For each entry, the smallest name that the pairs lead to."""
-    least = name.copy()
-    while True:
-        new = least.copy()
-        np.minimum.at(new, i, least[j])
-        np.minimum.at(new, j, new[i])
-        if (new == least).all():
-            return least
-        least = new
-
-
 def _link_nodes(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(mask, value, fp, rep):  # noqa: ANN001
@@ -118,7 +106,7 @@ def _link_nodes(bits: int):
                 order = np.lexsort((gray_rank(f), node[part]))
                 f, r = f[order], rep[part][order]
                 i, j = linked_pairs(f, node[part][order], bits)
-                root = _forest(i, j, r)
+                root = forest(i, j, r)
                 if (far := root != r).any():
                     yield pa.RecordBatch.from_arrays([pa.array(r[far]), pa.array(root[far])], ["a", "b"])
                 at = end
