@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, language, media, mixing, sentencepieces, sharding, simhash
+from . import chat, embeddings, language, media, mixing, sentencepieces, sharding, simhash, suffixes
 
 SHARDS = 24
 #: Where the public tokenizer model is; read on the driver.
@@ -94,6 +94,12 @@ def op9_kmeans_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
 
 
+def op10_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    cut = suffixes.remove_repeats(docs, "doc_id", "text")
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rank_order_language": op1_rank_order_language,
     "op2_gray_simhash": op2_gray_simhash,
@@ -103,5 +109,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_png_media": op7_png_media,
     "op8_transducer_pieces": op8_transducer_pieces,
     "op9_kmeans_embeddings": op9_kmeans_embeddings,
+    "op10_induced_suffixes": op10_induced_suffixes,
 }
 ORACLE_SQL: dict[str, str] = {"op5_chat_formatting": OP5_SQL}
