@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, language, media, mixing, sentencepieces, sharding, simhash, suffixes
+from . import chat, embeddings, language, licences, media, mixing, sentencepieces, sharding, simhash, suffixes
 
 SHARDS = 24
 #: Where the public tokenizer model is; read on the driver.
@@ -37,6 +37,17 @@ def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op4_licence_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = licences.scan(docs, "text", licences.fit(docs, "doc_id", "text"))
+    sure = F.filter("findings", lambda f: f["confirmed"])
+    families = lambda x: F.array_join(F.array_sort(F.array_distinct(F.transform(x, lambda f: f["family"]))), ",")
+    return found.select(
+        "doc_id", "n_paragraphs", F.size("findings").cast("long").alias("n_predicted"), F.size(sure).cast("long").alias("n_confirmed"),
+        families(sure).alias("families"), families(F.filter("findings", lambda f: ~f["confirmed"])).alias("unconfirmed"), F.array_max(F.transform("findings", lambda f: f["probability"])).alias("probability"),
+    )
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     mapping = chat.select_mapping(rows.schema)
@@ -104,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rank_order_language": op1_rank_order_language,
     "op2_gray_simhash": op2_gray_simhash,
     "op3_rendezvous_sharding": op3_rendezvous_sharding,
+    "op4_licence_classifier": op4_licence_classifier,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_pivotal_mixing": op6_pivotal_mixing,
     "op7_png_media": op7_png_media,

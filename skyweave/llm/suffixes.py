@@ -320,17 +320,18 @@ def repeated_spans(rows: DataFrame, match: int = MATCH, gram: int = GRAM, classe
         left = materialize(halves.join(large, ["g", "h"]), "contexts")
 
 
-def remove_repeats(df: DataFrame, key: str, text: str, match: int = MATCH, kept: str = "kept") -> DataFrame:
+def remove_repeats(df: DataFrame, key: str, text: str, match: int = MATCH, kept: str = "kept", as_text: bool = False) -> DataFrame:
     """Adds ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (bytes) to each row of ``df``; ``text`` goes.
 
     Null texts are empty.  Windows are judged on the input; all places of a repeated window go, in the same
     row too.  Texts below ``match`` bytes stay whole.  Rows of equal key and text are repeats of one
-    another.  An empty table gives no rows; other columns pass through."""
+    another.  An empty table gives no rows; other columns pass through.  ``as_text``: ``kept`` is a string, without the
+    parts of characters that a cut leaves."""
     rid = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
     rows = df.select(rid.alias("rid"), F.col(f"`{text}`").alias("text"))
     spans = repeated_spans(rows, match).groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     rest = [c for c in df.columns if c != text]
-    schema = df.select(*[f"`{c}`" for c in rest]).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add(kept, "binary")
+    schema = df.select(*[f"`{c}`" for c in rest]).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add(kept, "string" if as_text else "binary")
     k = len(rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,9 +343,12 @@ def remove_repeats(df: DataFrame, key: str, text: str, match: int = MATCH, kept:
                 size += len(data)
                 if size >= OUT_BYTES or n == b.num_rows:
                     columns = [c.slice(at, n - at) for c in b.columns[:k]]
-                    yield pa.RecordBatch.from_arrays([*columns, *[pa.array([m[x] for m in made], pa.int64()) for x in range(3)], pa.array([m[3] for m in made], pa.binary())], schema.names)
+                    yield pa.RecordBatch.from_arrays([*columns, *[pa.array([m[x] for m in made], pa.int64()) for x in range(3)], last([m[3] for m in made])], schema.names)
                     made, at, size = [], n, 0
 
+    def last(made: list[bytes]) -> pa.Array:
+        return pa.array([m.decode("utf-8", "ignore") for m in made], pa.string()) if as_text else pa.array(made, pa.binary())
+
     joined = df.withColumn("__rid", rid).join(spans, F.col("__rid") == F.col("rid"), "left")
     return joined.select(*[f"`{c}`" for c in rest], f"`{text}`", "spans").mapInArrow(run, schema)
 
