@@ -35,7 +35,7 @@ from .store import materialize
 MATCH, GRAM = 200, 64
 CLASSES = 512
 #: Bytes of texts that are hashed together, rows that suffixes are induced for together, bytes of texts in a batch of results.
-SLAB, ROWS, OUT_BYTES = 1 << 20, 16_384, 1 << 23
+SLAB, ROWS, OUT_BYTES = 1 << 17, 16_384, 1 << 23
 
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
