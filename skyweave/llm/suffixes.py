@@ -14,8 +14,8 @@ order of suffixes is wanted, with the common prefix of neighbours, where that ma
    it), a stable bucket sort of the order so far; a common prefix is 1 more than the least on the way
    between two suffixes.  This carries order and prefixes from the samples to all windows.
    A window repeats if the common prefix with a neighbour reaches MATCH.
-5. *Recursion.*  A sample of more than ``CLASSES`` classes is split: its windows by their distance from the sample in
-   halves, whose shared bytes are a longer sample.  A half of one window is a group of equal windows.
+5. *Recursion.*  A sample of more than ``CLASSES`` classes is split by the distance of windows from it into ``SPLIT``
+   ranges, whose shared bytes are a longer sample, and gaps are named anew.  A range of one window is of one class.
 
 Hashes have 64 bits; a class is told by 64 bits more within its sample.
 """
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .store import materialize
 
 MATCH, GRAM = 200, 64
-CLASSES = 512
+CLASSES, SPLIT = 512, 8
 #: Bytes of texts that are hashed together, rows that suffixes are induced for together, bytes of texts in a batch of results.
 SLAB, ROWS, OUT_BYTES = 1 << 17, 16_384, 1 << 23
 
@@ -259,9 +259,9 @@ def _contexts(match: int):
     return run
 
 
-def _halved(match: int, gram: int, level: int):
-    """Splits each context by the ranges of distances of the next level; ``h`` tells range and shared bytes."""
-    width, parts = match - gram + 1, 1 << level
+def _split(match: int, gram: int, parts: int):
+    """Splits each context by ranges of the windows' distances; ``h`` tells range and shared bytes."""
+    width = match - gram + 1
     cuts = [width * k // parts for k in range(parts + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,19 +305,20 @@ def repeated_spans(rows: DataFrame, match: int = MATCH, gram: int = GRAM, classe
     if hot.isEmpty():
         return spans.unionAll(sort(contexts(examples)))
     spans = spans.unionAll(sort(contexts(examples.join(hot, "g", "left_anti"))))
-    left, level, width = materialize(contexts(examples.join(hot, "g", "left_semi")), "contexts"), 0, match - gram + 1
+    left, parts, width = materialize(contexts(examples.join(hot, "g", "left_semi")), "contexts"), 1, match - gram + 1
     while True:
-        level += 1
-        halves = materialize(left.mapInArrow(_halved(match, gram, level), CONTEXT), "contexts")
-        sizes = materialize(halves.groupBy("g", "h").agg(F.count("*").alias("k")).where("k > 1"), "sizes")
-        if (1 << level) >= width:  # groups are of equal windows
-            equal = halves.join(sizes.select("g", "h"), ["g", "h"]).where("NOT many")
-            return spans.unionAll(equal.select("rid", (F.col("q") - F.col("hi")).alias("begin"), (F.col("q") - F.col("lo") + match).alias("end")))
-        spans = spans.unionAll(sort(halves.join(sizes.where(F.col("k") <= classes).select("g", "h"), ["g", "h"])))
+        parts = min(width, parts * SPLIT)
+        split = materialize(left.mapInArrow(_split(match, gram, parts), CONTEXT).withColumn("c", F.xxhash64("context", "lo", "hi")), "split")
+        kinds = materialize(split.groupBy("g", "h", "c").agg(F.count("*").alias("n"), F.max("many").alias("many"), F.min(F.struct("lo", "hi", "rid", "q", "context")).alias("at")), "classes")
+        same = split.where("NOT many").join(kinds.where("n > 1").select("g", "h", "c"), ["g", "h", "c"])
+        spans = spans.unionAll(same.select("rid", (F.col("q") - F.col("hi")).alias("begin"), (F.col("q") - F.col("lo") + match).alias("end")))
+        one = kinds.select("g", "h", "at.lo", "at.hi", (F.col("many") | (F.col("n") > 1)).alias("many"), "at.rid", "at.q", "at.context")
+        sizes = materialize(one.groupBy("g", "h").agg(F.count("*").alias("k")).where("k > 1"), "sizes")
+        spans = spans.unionAll(sort(one.join(sizes.where(F.col("k") <= classes).select("g", "h"), ["g", "h"])))
         large = sizes.where(F.col("k") > classes).select("g", "h")
-        if large.isEmpty():
+        if large.isEmpty():  # as it must be once ranges hold one window, whose shared bytes are all there is
             return spans
-        left = materialize(halves.join(large, ["g", "h"]), "contexts")
+        left = materialize(one.join(large, ["g", "h"]), "contexts")
 
 
 def remove_repeats(df: DataFrame, key: str, text: str, match: int = MATCH, kept: str = "kept", as_text: bool = False) -> DataFrame:
