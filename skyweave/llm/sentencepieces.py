@@ -20,6 +20,7 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -92,15 +93,20 @@ class Transducer:
         crosses = any(a != SPACE and b == SPACE for p in self.ids for a, b in zip(p, p[1:], strict=False))
         self.word = re.compile("(?s).+" if crosses else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.words: dict[str, np.ndarray] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.trie: dict = {}
+        self.pairs: dict[int, bool] = {}
+
+    @cached_property
+    def trie(self) -> tuple:
+        """Nodes: children by character, and the id of the piece that ends here, or -1."""
+        root: list = [{}, -1]
         for p, i in self.ids.items():
             if self.kind == BPE and len(p) > 1 and self._merged(p) != [p]:
                 continue  # merging never makes it
-            node = self.trie
+            node = root
             for c in p:
-                node = node.setdefault(c, {})
-            node[""] = i
+                node = node[0].setdefault(c, [{}, -1])
+            node[1] = i
+        return root
 
     def normalise(self, text: str) -> str:
         """White space: runs become one and ends go (if the model says so), a prefix comes, all of it is marked."""
@@ -140,10 +146,8 @@ class Transducer:
 
     def _stay(self, a: int, b: int) -> bool:
         """Whether merging leaves these neighbours apart: the arc's weight is 0, else infinite."""
-        found = self.pairs.get((a, b))
-        if found is None:
-            x, y = self.pieces[a][0], self.pieces[b][0]
-            found = self.pairs[a, b] = self._merged(x + y) == [x, y]
+        x, y = self.pieces[a][0], self.pieces[b][0]
+        found = self.pairs[a << 32 | b] = self._merged(x + y) == [x, y]
         return found
 
     def _fallback(self, c: str) -> list[int]:
@@ -153,41 +157,55 @@ class Transducer:
 
     def _path(self, word: str) -> list[int]:
         """Ids on the shortest path through the lattice of a word."""
-        n, unigram, stay, pairs, root = len(word), self.kind == UNIGRAM, self._stay, self.pairs, self.trie
-        best = [np.inf] * (n + 1)
-        back: list[tuple[int, int] | None] = [None] * (n + 1)  # where the last piece begins, and its id, -1 for a character without one
-        best[0] = 0.0
-        for at in range(n):
-            if best[at] == np.inf:
-                continue
-            last = back[at][1] if at else -1
-            node, end, alone = root, at, False
-            while end < n and (node := node.get(word[end])) is not None:
-                end += 1
-                i = node.get("")
-                if i is None:
-                    continue
-                alone |= end == at + 1
-                if unigram:
-                    weight = best[at] - self.scores[i]
-                    if weight < best[end]:
-                        best[end], back[end] = weight, (at, i)
-                elif best[end] and (last < 0 or (pairs[last, i] if (last, i) in pairs else stay(last, i))):
-                    best[end], back[end] = 0.0, (at, i)
-            if not alone and best[at + 1]:
-                weight = best[at] + UNKNOWN_PENALTY - self.least if unigram else 0.0
-                if weight < best[at + 1]:
-                    best[at + 1], back[at + 1] = weight, (at, -1)
+        n = len(word)
+        begin, last = [0] * (n + 1), [-2] * (n + 1)  # of the last piece on the best path to here: its begin and id; -1: a character without a piece, -2: no path
+        last[0] = -1
+        (self._unigram if self.kind == UNIGRAM else self._neighbours)(word, begin, last)
         out: list[int] = []
         while n:
-            begin, i = back[n]
-            out.extend(self._fallback(word[begin])[::-1] if i < 0 else (i,))
-            n = begin
+            i, n = last[n], begin[n]
+            out.extend(self._fallback(word[n])[::-1] if i < 0 else (i,))
         out.reverse()
         if not self.byte_fallback:
             out = [x for k, x in enumerate(out) if x != self.unknown or not k or out[k - 1] != x]
         return out
 
+    def _unigram(self, word: str, begin: list[int], last: list[int]) -> None:
+        n, scores, root = len(word), self.scores, self.trie
+        best = [0.0, *[np.inf] * n]
+        for at in range(n):
+            node, end, alone = root, at, False
+            while end < n and (node := node[0].get(word[end])) is not None:
+                end += 1
+                if (i := node[1]) >= 0:
+                    alone |= end == at + 1
+                    if (weight := best[at] - scores[i]) < best[end]:
+                        best[end], begin[end], last[end] = weight, at, i
+            if not alone and (weight := best[at] + UNKNOWN_PENALTY - self.least) < best[at + 1]:
+                best[at + 1], begin[at + 1], last[at + 1] = weight, at, -1
+
+    def _neighbours(self, word: str, begin: list[int], last: list[int]) -> None:
+        """Weights are 0 or infinite, so the first path that comes to a place is the best."""
+        n, pairs, stay, root = len(word), self.pairs, self._stay, self.trie
+        for at in range(n):
+            before = last[at]
+            if before == -2:
+                continue
+            node, end, alone, row = root, at, False, before << 32
+            while end < n and (node := node[0].get(word[end])) is not None:
+                end += 1
+                i = node[1]
+                if i < 0:
+                    continue
+                if end == at + 1:
+                    alone = True
+                if last[end] == -2:
+                    if before >= 0 and not (ok if (ok := pairs.get(row | i)) is not None else stay(before, i)):
+                        continue
+                    begin[end], last[end] = at, i
+            if not alone and last[at + 1] == -2:
+                begin[at + 1], last[at + 1] = at, -1
+
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text; null or empty: none."""
         if not text:
@@ -207,13 +225,14 @@ class Transducer:
             out.append(ids)
         return np.concatenate(out) if out else np.zeros(0, np.int32)
 
+    @cached_property
+    def texts(self) -> list[bytes]:
+        say = lambda p, t: bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else (UNKNOWN_TEXT if t == UNKNOWN else p.replace(SPACE, " ")).encode("utf-8", "surrogatepass")
+        return [say(p, t) for p, _, t in self.pieces]
+
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of ids: runs of bytes as UTF-8 (a byte that fits nowhere: U+FFFD), control pieces as nothing."""
-        table = self.__dict__.get("texts")
-        if table is None:
-            table = self.texts = [
-                bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else (UNKNOWN_TEXT if t == UNKNOWN else p.replace(SPACE, " ")).encode("utf-8", "surrogatepass") for p, _, t in self.pieces
-            ]
+        table = self.texts
         ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
         text = b"".join([table[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
@@ -225,12 +244,18 @@ def load(path: str) -> Transducer:
         return Transducer(f.read())
 
 
+@lru_cache(maxsize=2)
+def compiled(model: bytes) -> Transducer:
+    """Workers serve many tasks: they compile a model once, and keep what they remember of words."""
+    return Transducer(model)
+
+
 def encode(df: DataFrame, text: str, model: Transducer, ids: str = "ids") -> DataFrame:
     """Replaces ``text`` by the array of its ids; null and empty texts have none.  No shuffle."""
     rest, data = [c for c in df.columns if c != text], model.model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Transducer(data)
+        own = compiled(data)
         for b in batches:
             made = [own.encode(t.as_py()) for t in b.column(len(rest))]
             offsets = np.cumsum([0, *[len(m) for m in made]])
@@ -246,7 +271,7 @@ def decode(df: DataFrame, ids: str, model: Transducer, text: str = "text") -> Da
     rest, data = [c for c in df.columns if c != text], model.model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Transducer(data)
+        own = compiled(data)
         at = rest.index(ids)
         for b in batches:
             column = b.column(at)
