@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
@@ -92,7 +93,7 @@ class Transducer:
         self.least = min((s for _, s, t in self.pieces if t == NORMAL), default=0.0)
         crosses = any(a != SPACE and b == SPACE for p in self.ids for a, b in zip(p, p[1:], strict=False))
         self.word = re.compile("(?s).+" if crosses else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.words: dict[str, np.ndarray] = {}
+        self.words: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
     @cached_property
@@ -185,26 +186,31 @@ class Transducer:
                 best[at + 1], begin[at + 1], last[at + 1] = weight, at, -1
 
     def _neighbours(self, word: str, begin: list[int], last: list[int]) -> None:
-        """Weights are 0 or infinite, so the first path that comes to a place is the best."""
+        """Weights are 0 or infinite, so the first path to the end is the shortest; arcs are tried longest first.
+
+        A place is reached by one path of finite weight at most, so a place that leads nowhere is never tried again."""
         n, pairs, stay, root = len(word), self.pairs, self._stay, self.trie
-        for at in range(n):
-            before = last[at]
-            if before == -2:
-                continue
-            node, end, alone, row = root, at, False, before << 32
-            while end < n and (node := node[0].get(word[end])) is not None:
-                end += 1
-                i = node[1]
-                if i < 0:
-                    continue
-                if end == at + 1:
-                    alone = True
-                if last[end] == -2:
-                    if before >= 0 and not (ok if (ok := pairs.get(row | i)) is not None else stay(before, i)):
-                        continue
+        open_ = [True] * (n + 1)
+        at, before, arcs, way = 0, -1, None, []
+        while at < n:
+            if arcs is None:
+                node, end, arcs = root, at, []
+                while end < n and (node := node[0].get(word[end])) is not None:
+                    end += 1
+                    if (i := node[1]) >= 0:
+                        arcs.append((end, i))
+                if not arcs or arcs[0][0] > at + 1:
+                    arcs.insert(0, (at + 1, -1))
+            while arcs:
+                end, i = arcs.pop()
+                if open_[end] and (before < 0 or i < 0 or (ok if (ok := pairs.get(before << 32 | i)) is not None else stay(before, i))):
                     begin[end], last[end] = at, i
-            if not alone and last[at + 1] == -2:
-                begin[at + 1], last[at + 1] = at, -1
+                    way.append((at, before, arcs))
+                    at, before, arcs = end, i, None
+                    break
+            else:
+                open_[at] = False
+                at, before, arcs = way.pop()
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text; null or empty: none."""
@@ -215,15 +221,14 @@ class Transducer:
         if len(self.pairs) > 4 * REMEMBERED:
             self.pairs = {}
         words, out = self.words, []
-        for m in self.word.finditer(self.normalise(text)):
-            w = m[0]
+        for w in self.word.findall(self.normalise(text)):
             ids = words.get(w)
             if ids is None:
-                ids = np.array(self._path(w), np.int32)
+                ids = array("i", self._path(w)).tobytes()
                 if len(w) <= LONG_WORD:
                     words[w] = ids
             out.append(ids)
-        return np.concatenate(out) if out else np.zeros(0, np.int32)
+        return np.frombuffer(b"".join(out), np.int32)
 
     @cached_property
     def texts(self) -> list[bytes]:
