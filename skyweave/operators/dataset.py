@@ -404,7 +404,7 @@ class Dataset:
         import pandas as pd
 
         stored = self._fresh(name)
-        data = pd.DataFrame({"__pos": np.arange(n), stored: list(array) if array.ndim > 1 else array})
+        data = pd.DataFrame({"__pos": np.arange(n), stored: array.tolist() if array.ndim > 1 else array})
         right = self.base.sparkSession.createDataFrame(data)
         base = with_position(self.base, self._keys()).join(right, "__pos").drop("__pos")
         return self._with(base=base, defs=self.defs | {name: Stored(stored, unit, True, description)})

@@ -67,6 +67,9 @@ class _Files:
     def _path(self, p: str):
         return self.jvm.org.apache.hadoop.fs.Path(p)
 
+    def qualified(self, p: str) -> str:
+        return self.fs.makeQualified(self._path(p)).toString().rstrip("/")
+
     def exists(self, p: str) -> bool:
         return self.fs.exists(self._path(p))
 
@@ -116,7 +119,8 @@ def discover(spark: SparkSession, path: str) -> list[Entry]:
 
     if not files.exists(path):
         raise ValueError(f"{path}: not there")
-    walk(path.rstrip("/"), None, path)
+    top = files.qualified(path)
+    walk(top, None, top)
     if not out:
         raise ValueError(f"{path}: no data")
     return out
@@ -231,12 +235,12 @@ def open(spark: SparkSession, *paths: str | Iterable[str], mode: str = "spatial"
         raise ValueError("no paths")
     groups: dict[str, list[Entry]] = {}
     for p in flat:
-        found = discover(spark, p)
-        tops = {e.path[len(p.rstrip("/")) :].strip("/").split("/")[0] for e in found if "/" in e.path[len(p.rstrip("/")) :].strip("/")}
-        several = len(tops) > 1 and all(e.scope.rstrip("/") != p.rstrip("/") for e in found) and not any(t.split("_")[0].isdigit() for t in tops)
+        found, top = discover(spark, p), _Files(spark, p).qualified(p)
+        below = {e.path: e.path[len(top) :].strip("/").split("/") for e in found}
+        # folders side by side with headers of their own are simulations, but steps (such as 600_halos) and one folder's datasets are not
+        several = len({x[0] for x in below.values() if len(x) > 1}) > 1 and all(e.scope != top for e in found) and not any(x[0].split("_")[0].isdigit() for x in below.values())
         for e in found:
-            rest = e.path[e.path.find(p.rstrip("/").rsplit("/", 1)[-1]) :].split("/")
-            groups.setdefault(rest[1] if several and len(rest) > 2 else "", []).append(e)
+            groups.setdefault(below[e.path][0] if several else "", []).append(e)
     kept = {g: [e for e in es if all(bool(flags.get(k, False)) == bool(v) for k, v in e.header.load_if.items())] for g, es in groups.items()}
     kept = {g: es for g, es in kept.items() if es}
     every = [e for es in kept.values() for e in es]
