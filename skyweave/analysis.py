@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.expr import gas_temperature, mean_molecular_weight
+from .functions.expr import emission_measure, gas_number_density, gas_temperature, mean_molecular_weight
 from .operators import evaluate as ev
 from .operators.dataset import Dataset
 
@@ -54,4 +54,4 @@ def projection(ds: Dataset, x: str, y: str, weight: str, dx: float, dy: float |
     return ds.base.groupBy(F.floor(cx / dx).alias("i"), F.floor(cy / (dy or dx)).alias("j")).agg(F.sum(w).alias("total"))
 
 
-__all__ = ["gas_temperature", "mean_molecular_weight", "projection", "reduce", "reduce_df"]
+__all__ = ["emission_measure", "gas_number_density", "gas_temperature", "mean_molecular_weight", "projection", "reduce", "reduce_df"]

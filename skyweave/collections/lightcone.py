@@ -151,6 +151,17 @@ class Lightcone(Dataset):
         """Occupied pixels, sorted: 12 nside^2 of them at most."""
         return np.array([r[0] for r in self.pixels_df(nside).orderBy("pixel").collect()], np.int64)
 
+    def evaluate(self, func, **kwargs: Any) -> Any:
+        """As for datasets; a dict argument whose keys are the steps gives each step its own value."""
+        split = [k for k, v in kwargs.items() if isinstance(v, dict) and v and set(v) == set(self.steps)]
+        if not split or not kwargs.get("insert", True):
+            return super().evaluate(func, **kwargs)
+        parts = [Dataset.evaluate(self[s], func, **kwargs | {k: kwargs[k][s] for k in split}) for s in self.steps]
+        base = parts[0].base
+        for p in parts[1:]:
+            base = base.unionByName(p.base)
+        return parts[0]._with(base=base, steps=self.steps)
+
     def keys(self) -> list[int]:
         return list(self.steps)
 

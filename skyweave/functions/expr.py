@@ -377,3 +377,18 @@ def gas_temperature(energy: str = "uu") -> Expr:
     from .units import BOLTZMANN, PROTON_MASS
 
     return mean_molecular_weight() * col(energy) * (PROTON_MASS * 1e6 / BOLTZMANN * (GAMMA - 1))
+
+
+def gas_number_density(density: str = "rho") -> Expr:
+    """Particles per volume, of densities of mass: rho / (weight * m_p)."""
+    from .units import PROTON_MASS
+
+    return col(density) / (mean_molecular_weight() * PROTON_MASS)
+
+
+def emission_measure(density: str = "rho", mass: str = "mass", helium: str = "yhe") -> Expr:
+    """n_e * n_H * (mass / rho), with n_e = (1 - Y / 2) rho / m_p and n_H = (1 - Y) rho / m_p."""
+    from .units import PROTON_MASS
+
+    y, per = col(helium), col(density) / PROTON_MASS
+    return (1 - 0.5 * y) * per * ((1 - y) * per) * (col(mass) / col(density))

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from ..functions.errors import MissingColumnError, UnitConversionError
 from ..functions.expr import Both, Compare, Expr, IsIn, Literal, Mask, Name, Reduction, Typed, col, wrap
 from ..functions.units import Quantity, Unit, as_unit, transition
-from ..plans import octree, regions
+from ..plans import hooks, octree, regions
 from ..plans.positions import with_position
 from ..sources.header import Header
 
@@ -60,6 +60,19 @@ class Derived:
 Definition = Stored | Derived
 
 
+@dataclass(frozen=True)
+class Evaluated:
+    """A function of rows as a column of ``select`` and ``with_new_columns``; ``options``: those of ``evaluate``."""
+
+    func: Callable
+    options: dict[str, Any] = field(default_factory=dict)
+
+    def inputs(self, ds: Dataset) -> list[str]:
+        from .evaluate import arguments
+
+        return arguments(self.func, ds.columns, {k: v for k, v in self.options.items() if k not in ("vectorize", "format", "batch_size", "elementwise")})
+
+
 @dataclass(frozen=True)
 class Conversions:
     blanket: tuple[tuple[Unit, Unit], ...] = ()
@@ -247,7 +260,9 @@ class Dataset:
 
     def to_df(self, ordered: bool = False, hidden: Sequence[str] = ()) -> DataFrame:
         """The plan of the public columns, in current units, which field metadata repeat; ordered if asked for or sorted."""
+        self = hooks.fold("lightcone_instantiate" if self.kind == "Lightcone" else "dataset_instantiate", self)
         df = self.base.orderBy(*self._ordering()) if ordered or self.sort else self.base
+        df = hooks.fold("post_sort", df) if self.sort else df
         out = []
         for n, d in self.defs.items():
             x = self._typed(d, n)
@@ -372,7 +387,9 @@ class Dataset:
             raise ValueError(f"columns exist: {', '.join(taken)}")
         exprs, ds = {}, self
         for n, v in new.items():
-            if isinstance(v, Expr):
+            if isinstance(v, Evaluated):
+                ds = ds._evaluated(n, v)
+            elif isinstance(v, Expr):
                 if v.scalar:
                     raise ValueError(f"{n} has one value for all rows")
                 exprs[n] = v
@@ -395,6 +412,13 @@ class Dataset:
                 made[n].expr.compile(_Compiler(ds, made[n].env))  # raises what units forbid
         return ds._with(defs=defs | made)
 
+    def _evaluated(self, name: str, e: Evaluated) -> Dataset:
+        made = self._with(defs={n: d for n, d in self.defs.items() if n != name} if name not in e.inputs(self) else self.defs).evaluate(e.func, allow_overwrite=True, **e.options)
+        new = [n for n in made.columns if n not in self.columns or made.defs[n] is not self.defs[n]]
+        if len(new) != 1:
+            raise ValueError(f"{name} is made of a function of {len(new)} columns")
+        return self._with(base=made.base, defs={n: d for n, d in self.defs.items() if n != name} | {name: made.defs[new[0]]})
+
     def _with_array(self, name: str, values: Any, description: str) -> Dataset:
         unit = values.unit if isinstance(values, Quantity) else None
         array = np.asarray(values.value if unit else values)
@@ -421,7 +445,7 @@ class Dataset:
     def filter(self, *masks: Mask, mode: str = "global") -> Dataset:
         """Rows that all masks hold for.  Reductions in masks are over the rows before."""
         check_mode(mode)
-        return self._with(base=self.base.filter(self._mask(masks))) if masks else self
+        return hooks.fold("index_update", self._with(base=self.base.filter(self._mask(masks)))) if masks else self
 
     def sort_by(self, column: str | None, invert: bool = False) -> Dataset:
         """The order of what comes out and of positions; None: the rows' own."""

@@ -29,7 +29,7 @@ from ..collections.simulation import SimulationCollection
 from ..collections.structure import Link, StructureCollection
 from ..functions.units import as_unit
 from ..operators.dataset import Dataset, Stored
-from ..plans import healpix, octree
+from ..plans import healpix, hooks, octree
 from .header import Header
 
 PROPERTIES = ("halo_properties", "galaxy_properties")
@@ -127,6 +127,12 @@ def discover(spark: SparkSession, path: str) -> list[Entry]:
 
 
 def load_dataset(spark: SparkSession, e: Entry) -> Dataset:
+    """What a folder holds, after what hooks make of it."""
+    made = _load(spark, e)
+    return hooks.fold("lightcone_open" if isinstance(made, Lightcone) else "dataset_open", made)
+
+
+def _load(spark: SparkSession, e: Entry) -> Dataset:
     df, about = spark.read.parquet(f"{e.path}/data"), e.about
     units, texts, static = about.get("units", {}), about.get("descriptions", {}), set(about.get("static", []))
     defs = {c: Stored(c, as_unit(units[c]) if units.get(c) else None, c in static, texts.get(c, "")) for c in df.columns if not c.startswith("__")}

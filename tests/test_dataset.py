@@ -177,3 +177,36 @@ def test_evaluate(ds, frame):
 def test_empty(ds):
     none = ds.filter(col("id") < 0)
     assert len(none) == 0 and none.sort_by("m").take(3, "start").get_data("numpy")["id"].size == 0
+
+
+def test_functions_as_columns(ds, frame):
+    from skyweave import Evaluated
+
+    def half(m):
+        return m / 2
+
+    assert ds.with_new_columns(h=Evaluated(half)).select("h").get_data("numpy") == pytest.approx(frame.m)
+    assert ds.select("id", h=Evaluated(half, {"elementwise": True})).columns == ["id", "h"]
+
+
+def test_hooks(ds):
+    from skyweave.plans import hooks
+
+    away = hooks.add("index_update", lambda d: d.drop("kind"))
+    try:
+        assert "kind" not in ds.filter(col("id") > 3).columns
+    finally:
+        away()
+    assert "kind" in ds.filter(col("id") > 3).columns and hooks.ask("partition", 1) is None
+    with pytest.raises(ValueError):
+        hooks.add("nowhere", print)
+
+
+def test_gas(spark):
+    from skyweave import analysis
+
+    df = spark.createDataFrame([(1, 2.0, 4.0, 0.25, 0.0, 100.0)], "id long, rho double, mass double, yhe double, zmet double, uu double")
+    d = Dataset.from_dataframe(df, "id").with_new_columns(w=analysis.mean_molecular_weight(), t=analysis.gas_temperature(), n=analysis.gas_number_density(), e=analysis.emission_measure()).to_pandas().iloc[0]
+    mp = 1.67262192369e-27
+    assert d.w == pytest.approx(1 / (1.5 + 0.1875)) and d.n == pytest.approx(2 / (d.w * mp)) and d.e == pytest.approx(0.875 * 0.75 * 4 / mp**2 * 2)
+    assert d.t == pytest.approx(d.w * mp * 100 * 1e6 / 1.380649e-23 * 2 / 3)

@@ -169,3 +169,11 @@ def test_map(spark):
     with pytest.raises(NotImplementedError):
         m.with_units("physical")
     assert m.with_resolution(8) is m and m.columns == ["tsz"]
+
+
+def test_step_arguments(cone):
+    def moved(m, by):
+        return m + by
+
+    pdf = cone.evaluate(moved, by={600: 1.0, 601: 100.0}).to_pandas()
+    assert np.allclose(pdf.moved - pdf.m, np.where(pdf.step == 600, 1.0, 100.0))
