@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.units import Quantity, Unit, as_unit
+from ..functions.units import Quantity, Unit
 from ..plans.positions import with_position
 
 FORMATS = ("numpy", "pandas", "arrow", "polars", "jax")
@@ -159,6 +159,3 @@ def run(ds: Any, func: Callable, *, vectorize: bool, insert: bool, format: str,
     if insert:
         return new
     return new._with(defs={k: new.defs[k] for k in kinds}).get_data("numpy", unpack=False)
-
-
-__all__ = ["as_unit", "run"]

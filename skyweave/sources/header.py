@@ -11,8 +11,7 @@ from ..plans.cosmology import Cosmology, step_redshifts
 
 #: Kinds of data.
 DATA_TYPES = ("galaxy_properties", "galaxy_particles", "halo_properties", "halo_profiles", "halo_particles", "synthetic_galaxies", "healpix_map")
-#: A kind that reads as another; names of cosmological parameters in stored headers.
-READS_AS = {"diffsky_fits": "synthetic_galaxies"}
+#: Names of cosmological parameters in stored headers.
 PARAMETER_ALIASES = {"omega_m": "om0", "omega_l": "ode0", "w_0": "w0", "w_a": "wa"}
 
 
@@ -31,7 +30,8 @@ class Header:
     load_if: dict[str, bool] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        object.__setattr__(self, "data_type", READS_AS.get(self.data_type, self.data_type))
+        if self.data_type.endswith("_fits"):  # fits of galaxies to a simulation read as galaxies
+            object.__setattr__(self, "data_type", "synthetic_galaxies")
         if self.data_type not in DATA_TYPES:
             raise ValueError(f"data type {self.data_type!r}")
         if self.unit_convention not in CONVENTIONS:

@@ -109,4 +109,4 @@ def test_headers():
             Header(**bad)
     with pytest.raises(ValueError):
         Header.load({"colour": 1})
-    assert Header("diffsky_fits").data_type == "synthetic_galaxies"
+    assert Header("mock_fits").data_type == "synthetic_galaxies"
