@@ -368,7 +368,7 @@ class StructureCollection:
             table = table._source if isinstance(table, StructureCollection) else table
             keys = pk if m == self.source_name else self._links[m].child
             ids = [F.col(c).alias(f"__o{i}") for i, c in enumerate(table.order)] if m == (target or "") else []
-            own = table.base.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], F.lit(tag).alias("__tag"), F.array(*[F.col(c).cast("double") for c in table.order]).alias("__sort"), *ids, F.struct(*[table._typed(table.defs[c], c).column.alias(c) for c in inputs[m]]).alias(m))
+            own = table.base.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], F.lit(tag).alias("__tag"), F.struct(*[F.col(c) for c in table.order]).alias(f"__sort{tag}"), *ids, F.struct(*[table._typed(table.defs[c], c).column.alias(c) for c in inputs[m]]).alias(m))
             frames = own if frames is None else frames.unionByName(own, allowMissingColumns=True)
         nk = len(pk)
         key_names = [f"__k{i}" for i in range(nk)]
@@ -379,7 +379,9 @@ class StructureCollection:
             rows_of_target = pdf.iloc[:0]
             for tag, m in enumerate(used):
                 mine = pdf[pdf["__tag"] == tag]
-                mine = mine.iloc[sorted(range(len(mine)), key=lambda i: tuple(mine["__sort"].iloc[i]))] if len(mine) > 1 else mine
+                if len(mine) > 1:
+                    places = [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in mine[f"__sort{tag}"]]
+                    mine = mine.iloc[sorted(range(len(mine)), key=places.__getitem__)]
                 if m == target:
                     rows_of_target = mine
                 cells = mine[m].tolist()

@@ -24,6 +24,7 @@ from .functions.units import u
 from .operators.dataset import Dataset
 from .plans import healpix, octree
 from .plans.cosmology import Cosmology
+from .plans.positions import with_position
 from .plans.regions import make_box, make_cone, make_skybox
 from .sources.catalog import rewrite_links
 from .sources.header import Header
@@ -587,9 +588,8 @@ def rewrite_link_idx(spark, sf):
 @query("SELECT o_orderkey, o_custkey AS parent FROM orders")
 def links_to_keys(spark, sf):
     """Stored runs of positions become keys on the children."""
-    from pyspark.sql import Window as W
-
-    kids = read(spark, sf, "orders").select("o_orderkey", "o_custkey").withColumn("at", F.row_number().over(W.orderBy("o_custkey", "o_orderkey")) - 1)
+    keys = [(F.col("o_custkey"), False), (F.col("o_orderkey"), False)]
+    kids = with_position(read(spark, sf, "orders").select("o_orderkey", "o_custkey"), keys, "at")
     runs = kids.groupBy("o_custkey").agg(F.min("at").alias("start"), F.count("*").alias("size"))
     made = links_from_positions(runs.withColumnRenamed("o_custkey", "c"), kids.drop("o_custkey"), start="start", size="size", parent_key="c", child_position="at", name="parent")
     return made.select("o_orderkey", "parent")
