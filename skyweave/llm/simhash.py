@@ -187,7 +187,8 @@ def keep_one(df: DataFrame, key: str, text: str, bits: int = BITS) -> DataFrame:
     All columns of ``df`` are kept.  Of several rows with the kept key one stays, the first by text."""
     found = near_duplicates(df, key, text, bits)
     kept = materialize(found.where(F.col(key) == F.col("component")).groupBy(key).agg(F.count("*").alias("__n")).withColumnRenamed(key, "__key"), "kept")
-    rows = df.join(kept, F.col(f"`{key}`") == F.col("__key"))
+    # a merge join at every size: what is kept grows with the input
+    rows = df.join(kept.hint("merge"), F.col(f"`{key}`") == F.col("__key"))
     once = rows.where("__n = 1").drop("__key", "__n")
     many = rows.where("__n > 1")
     from pyspark.sql import Window as W
