@@ -51,9 +51,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     counts = write(per.agg(F.count("*").alias("__n"), F.sum("copies").alias("__copies")).where("__copies > 0"), "copies").df
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (size == F.col("__size"))
     # of n equal rows each gets its share of the copies, the first ones one more
-    alone = docs.join(counts.where("__n = 1"), same).withColumn("__mine", F.col("__copies"))
+    # merge joins at every size: the counts grow with the input
+    alone = docs.join(counts.where("__n = 1").hint("merge"), same).withColumn("__mine", F.col("__copies"))
     own = W.partitionBy("__id", "__source", "__size").orderBy("text")
-    several = docs.join(counts.where("__n > 1"), same).withColumn("__k", F.row_number().over(own))
+    several = docs.join(counts.where("__n > 1").hint("merge"), same).withColumn("__k", F.row_number().over(own))
     share = F.floor(F.col("__copies") / F.col("__n")) + F.when(F.col("__k") <= F.col("__copies") % F.col("__n"), 1).otherwise(0)
     several = several.withColumn("__mine", share).where("__mine > 0").drop("__k")
     return _like(docs, alone.unionByName(several).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mine")))))
