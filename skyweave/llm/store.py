@@ -11,6 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: A table has at most so many files for each core, and at least so many are allowed: with more, making files is most of the work.
+WAVES, LEAST_PARTS = 4, 32
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.  Unset on a cluster: ValueError."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -41,7 +45,7 @@ def write(df: DataFrame, name: str) -> Table:
     """Writes ``df`` as Parquet and reads it again; the files go when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.coalesce(max(LEAST_PARTS, WAVES * spark.sparkContext.defaultParallelism)).write.parquet(path)
     fs, p = _filesystem(spark, path)
     fs.deleteOnExit(p)
     return Table(spark.read.schema(df.schema).parquet(path), path)
