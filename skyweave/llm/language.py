@@ -8,6 +8,7 @@ ranks, ``PROFILE`` for an n-gram that the profile lacks.  The nearest language w
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,12 +26,11 @@ SAMPLE = 2000
 MOST_LANGUAGES = 5000
 UNDETERMINED = "und"
 #: n-grams that a worker remembers between documents, and letters of the words it remembers.
-REMEMBERED, LONG_WORD = 200_000, 40
+REMEMBERED, LONG_WORD = 100_000, 40
 PIECE = 1 << 20
 
 _WORD, _GAP = re.compile(r"[^\W\d_]+"), re.compile(r"[\W\d_]")
 
-
 def word_counts(text: str) -> Counter:
     """Counts of lower-cased words, in pieces of about a million characters that end between words."""
     found, at = Counter(), 0
@@ -42,12 +42,10 @@ def word_counts(text: str) -> Counter:
         at = end
     return found
 
-
 def grams(word: str, length: int = LENGTH) -> list[str]:
     padded = f" {word} "
     return [padded[i : i + n] for n in range(1, length + 1) for i in range(len(padded) - n + 1) if n > 1 or padded[i] != " "]
 
-
 class Profiles:
     """Profiles by language: lists of n-grams, the most frequent first."""
 
@@ -63,8 +61,10 @@ class Profiles:
     def _forget(self) -> None:
         self.ids, self.words = dict(self.known), {}
 
-    def _ids(self, word: str) -> np.ndarray:
-        made = np.array([self.ids.setdefault(g, len(self.ids)) for g in grams(word, self.length)], np.int64)
+    def _ids(self, word: str) -> bytes:
+        """Ids of the word's n-grams, 4 bytes each."""
+        ids = self.ids
+        made = array("i", [ids.setdefault(g, len(ids)) for g in grams(word, self.length)]).tobytes()
         if len(word) <= LONG_WORD:
             self.words[word] = made
         return made
@@ -79,8 +79,8 @@ class Profiles:
         if len(self.ids) > REMEMBERED or len(self.words) > REMEMBERED:
             self._forget()
         parts = [self.words[w] if w in self.words else self._ids(w) for w in counted]
-        weights = np.repeat(np.fromiter(counted.values(), np.float64, len(parts)), [len(p) for p in parts])
-        counts = np.bincount(np.concatenate(parts), weights, len(self.ids))
+        weights = np.repeat(np.fromiter(counted.values(), np.float64, len(parts)), [len(p) >> 2 for p in parts])
+        counts = np.bincount(np.frombuffer(b"".join(parts), np.int32), weights, len(self.ids))
         seen = np.flatnonzero(counts)
         if len(seen) > self.size:
             seen = seen[counts[seen] >= np.partition(counts[seen], -self.size)[-self.size]]
@@ -91,12 +91,10 @@ class Profiles:
         best = int(far.argmin())
         return self.languages[best], float(1 - far[best] / (self.size * len(seen)))
 
-
 def held_out(key: Column, part: int = 2, of: int = 4) -> Column:
     """Whether a key's CRC puts its row in the part that is not learned from; null keys: false."""
     return F.coalesce(F.crc32(key.cast("string")) % of == part, F.lit(False))
 
-
 def fit(df: DataFrame, key: str, text: str, lang: str, sample: int = SAMPLE, size: int = PROFILE, length: int = LENGTH) -> Profiles:
     """Learns profiles from rows of ``df`` with a text and a label, about ``sample`` a language, chosen by the hash of the key.
 
@@ -134,19 +132,19 @@ def fit(df: DataFrame, key: str, text: str, lang: str, sample: int = SAMPLE, siz
         top[r["l"]].append(r["g"])
     return Profiles({k: v for k, v in top.items() if v}, size, length)
 
-
-def identify(df: DataFrame, text: str, profiles: Profiles, lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Replaces ``text`` by its predicted language and score (0 to 1).  No shuffle.
+def identify(df: DataFrame, text: str, profiles: Profiles, lang: str = "lang_pred", score: str = "score", keep: bool = False) -> DataFrame:
+    """Replaces ``text``, or follows it if it is to ``keep``, by its predicted language and score (0 to 1).  No shuffle.
 
     ``und`` and 0 where the text is null or has no letter, or nothing was learned.  The whole text counts."""
     rest = [c for c in df.columns if c != text]
+    out = [*rest, text] if keep else rest
     names, size, length = profiles.profiles, profiles.size, profiles.length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(names, size, length)
         for b in batches:
             made = [model.predict(t.as_py()) for t in b.column(len(rest))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], [*rest, lang, score])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(out)], pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], [*out, lang, score])
 
-    columns = df.select(*[f"`{c}`" for c in rest])
+    columns = df.select(*[f"`{c}`" for c in out])
     return df.select(*[f"`{c}`" for c in rest], f"`{text}`").mapInArrow(run, columns.schema.add(lang, "string").add(score, "double"))
