@@ -26,7 +26,7 @@ def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a learned language; those without a letter, or far from each, go.  Nothing labelled: all with a letter stay."""
     profiles = language.fit(docs, "doc_id", "text", "lang")
-    marked = language.identify(docs.withColumn("__text", F.col("text")), "__text", profiles, "__lang", "__score")
+    marked = language.identify(docs, "text", profiles, "__lang", "__score", keep=True)
     return _like(docs, marked.where((F.col("__lang") != language.UNDETERMINED) & (F.col("__score") >= LEAST_SCORE)) if profiles.languages else docs.where(F.col("text").rlike(r"\p{L}")))
 
 
