@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import frugal
 from .components import components, forest
 from .store import materialize
 
@@ -141,7 +142,7 @@ def near_duplicates(df: DataFrame, key: str, embedding: str, cosine: float = COS
     reach = math.sqrt(max(0.0, 2 - 2 * cosine)) / 2 + SLACK
     parts = max(1, min(4096, count // 256))
     schema = "rep long, embedding array<double>, n long, home int, visits array<int>"
-    placed = materialize(distinct.select("rep", "embedding", "n").repartition(parts, "rep").mapInArrow(_assign(centroids, reach), schema), "placed")
+    placed = materialize(distinct.select("rep", "embedding", "n").repartition(parts, "rep").mapInArrow(frugal(_assign(centroids, reach)), schema), "placed")
     seat = F.pmod(F.xxhash64("rep", F.lit("seat")), F.lit(1 << 30))
     homes = {r["home"]: r["n"] for r in placed.groupBy("home").agg(F.count("*").alias("n")).collect()}  # MOST_CELLS rows at most
     members = {r["c"]: r["n"] for r in placed.select(F.explode("visits").alias("c")).groupBy("c").agg(F.count("*").alias("n")).collect()}

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .arrow import frugal
+
 #: n-grams of 1 to LENGTH letters, within words that a space pads on both sides.
 LENGTH, PROFILE = 3, 300
 #: Expected number of labelled documents a language that profiles are learned from, whole texts each.
@@ -31,6 +33,7 @@ PIECE = 1 << 20
 
 _WORD, _GAP = re.compile(r"[^\W\d_]+"), re.compile(r"[\W\d_]")
 
+
 def word_counts(text: str) -> Counter:
     """Counts of lower-cased words, in pieces of about a million characters that end between words."""
     found, at = Counter(), 0
@@ -42,10 +45,12 @@ def word_counts(text: str) -> Counter:
         at = end
     return found
 
+
 def grams(word: str, length: int = LENGTH) -> list[str]:
     padded = f" {word} "
     return [padded[i : i + n] for n in range(1, length + 1) for i in range(len(padded) - n + 1) if n > 1 or padded[i] != " "]
 
+
 class Profiles:
     """Profiles by language: lists of n-grams, the most frequent first."""
 
@@ -91,10 +96,12 @@ class Profiles:
         best = int(far.argmin())
         return self.languages[best], float(1 - far[best] / (self.size * len(seen)))
 
+
 def held_out(key: Column, part: int = 2, of: int = 4) -> Column:
     """Whether a key's CRC puts its row in the part that is not learned from; null keys: false."""
     return F.coalesce(F.crc32(key.cast("string")) % of == part, F.lit(False))
 
+
 def fit(df: DataFrame, key: str, text: str, lang: str, sample: int = SAMPLE, size: int = PROFILE, length: int = LENGTH) -> Profiles:
     """Learns profiles from rows of ``df`` with a text and a label, about ``sample`` a language, chosen by the hash of the key.
 
@@ -125,13 +132,14 @@ def fit(df: DataFrame, key: str, text: str, lang: str, sample: int = SAMPLE, siz
         for name, c in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["l", "g", "n"])
 
-    counted = chosen.select("t", "l").mapInArrow(run, "l string, g string, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
+    counted = chosen.select("t", "l").mapInArrow(frugal(run), "l string, g string, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
     place = F.row_number().over(W.partitionBy("l").orderBy(F.desc("n"), "g"))
     top: dict[str, list[str]] = {name: [] for name, _ in counts}
     for r in sorted(counted.withColumn("r", place).where(F.col("r") <= size).collect(), key=lambda r: r["r"]):
         top[r["l"]].append(r["g"])
     return Profiles({k: v for k, v in top.items() if v}, size, length)
 
+
 def identify(df: DataFrame, text: str, profiles: Profiles, lang: str = "lang_pred", score: str = "score", keep: bool = False) -> DataFrame:
     """Replaces ``text``, or follows it if it is to ``keep``, by its predicted language and score (0 to 1).  No shuffle.
 
@@ -147,4 +155,4 @@ def identify(df: DataFrame, text: str, profiles: Profiles, lang: str = "lang_pre
             yield pa.RecordBatch.from_arrays([*b.columns[: len(out)], pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], [*out, lang, score])
 
     columns = df.select(*[f"`{c}`" for c in out])
-    return df.select(*[f"`{c}`" for c in rest], f"`{text}`").mapInArrow(run, columns.schema.add(lang, "string").add(score, "double"))
+    return df.select(*[f"`{c}`" for c in rest], f"`{text}`").mapInArrow(frugal(run), columns.schema.add(lang, "string").add(score, "double"))

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrow import frugal
+
 UNKNOWN_FAMILY = "unknown"
 #: Customary notices and opening clauses of licence families.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -218,4 +220,4 @@ def scan(df: DataFrame, text: str, model: Classifier) -> DataFrame:
             made = [model.scan(t.as_py() or "") for t in b.column(len(rest))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], kind)], schema.names)
 
-    return df.select(*columns, f"`{text}`").mapInArrow(run, schema)
+    return df.select(*columns, f"`{text}`").mapInArrow(frugal(run), schema)

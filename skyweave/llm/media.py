@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .arrow import frugal
+
 #: Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
@@ -170,4 +172,4 @@ def with_media(df: DataFrame, text: str, media: str = "media", payload: str = "p
                 yield pa.RecordBatch.from_arrays(step, [*rest, media, payload, feature])
                 at = end
 
-    return df.select(*[f"`{c}`" for c in rest], f"`{text}`").mapInArrow(run, schema)
+    return df.select(*[f"`{c}`" for c in rest], f"`{text}`").mapInArrow(frugal(run), schema)

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .arrow import frugal
+
 #: Fixed values of the model format: piece types, model types, the mark of white space, the text of an unknown piece.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
@@ -268,7 +270,7 @@ def encode(df: DataFrame, text: str, model: Transducer, ids: str = "ids") -> Dat
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))], [*rest, ids])
 
     columns = [f"`{c}`" for c in rest]
-    return df.select(*columns, f"`{text}`").mapInArrow(run, df.select(*columns).schema.add(ids, T.ArrayType(T.IntegerType())))
+    return df.select(*columns, f"`{text}`").mapInArrow(frugal(run), df.select(*columns).schema.add(ids, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, ids: str, model: Transducer, text: str = "text") -> DataFrame:
@@ -284,4 +286,4 @@ def decode(df: DataFrame, ids: str, model: Transducer, text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], [*rest, text])
 
     columns = [f"`{c}`" for c in rest]
-    return df.select(*columns).mapInArrow(run, df.select(*columns).schema.add(text, "string"))
+    return df.select(*columns).mapInArrow(frugal(run), df.select(*columns).schema.add(text, "string"))

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import frugal
 from .components import components, forest
 from .store import materialize, write
 
@@ -54,7 +55,7 @@ def fingerprints(df: DataFrame, key: str, text: str, shingle: int = SHINGLE, see
             made = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.int64())], [key, "fp"])
 
-    return df.select(f"`{key}`", f"`{text}`").mapInArrow(run, df.select(f"`{key}`").schema.add("fp", "long"))
+    return df.select(f"`{key}`", f"`{text}`").mapInArrow(frugal(run), df.select(f"`{key}`").schema.add("fp", "long"))
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -151,7 +152,7 @@ def link(reps: DataFrame, bits: int = BITS, node: int = NODE) -> DataFrame:
         placed = entries.select(F.explode(F.element_at(pick, F.col("mask"))).alias("mask"), "fp", "rep").withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
         counts = write(placed.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1"), "nodes").df
         small = placed.join(counts.where(F.col("n") <= node), ["mask", "value"]).select("mask", "value", "fp", "rep")
-        found = small.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(_link_nodes(bits), schema)
+        found = small.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(frugal(_link_nodes(bits)), schema)
         edges = found if edges is None else edges.unionAll(found)
         hot = counts.where(F.col("n") > node)
         masks = [m & ((1 << 64) - 1) for (m,) in hot.select("mask").distinct().collect()]  # a few, from a fixed tree of masks

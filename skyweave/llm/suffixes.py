@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import frugal
 from .store import materialize
 
 MATCH, GRAM = 200, 64
@@ -145,7 +146,7 @@ def samples(rows: DataFrame, match: int, gram: int) -> DataFrame:
                 made = [np.array([x[0] for x in parts], np.int64)[k], begin << 16 | n << 8 | (q - p), g.view(np.int64), c.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["rid", "place", "g", "c"])
 
-    return rows.select("rid", "text").mapInArrow(run, "rid long, place long, g long, c long")
+    return rows.select("rid", "text").mapInArrow(frugal(run), "rid long, place long, g long, c long")
 
 
 def induce(group: np.ndarray, lo: np.ndarray, hi: np.ndarray, context: list[bytes], match: int = MATCH) -> np.ndarray:
@@ -297,10 +298,10 @@ def repeated_spans(rows: DataFrame, match: int = MATCH, gram: int = GRAM, classe
     def contexts(which: DataFrame) -> DataFrame:
         places = which.groupBy("rid").agg(F.collect_list(F.struct("place", "g", "many")).alias("places"))
         # copies of a row give the same bytes at the same place, of a class that has many: they are no harm
-        return rows.join(places, "rid").select("rid", "text", "places").mapInArrow(_contexts(match), CONTEXT)
+        return rows.join(places, "rid").select("rid", "text", "places").mapInArrow(frugal(_contexts(match)), CONTEXT)
 
     def sort(some: DataFrame) -> DataFrame:
-        return some.repartition("g", "h").sortWithinPartitions("g", "h").mapInArrow(_induced(match), SPAN)
+        return some.repartition("g", "h").sortWithinPartitions("g", "h").mapInArrow(frugal(_induced(match)), SPAN)
 
     if hot.isEmpty():
         return spans.unionAll(sort(contexts(examples)))
@@ -308,7 +309,7 @@ def repeated_spans(rows: DataFrame, match: int = MATCH, gram: int = GRAM, classe
     left, parts, width = materialize(contexts(examples.join(hot, "g", "left_semi")), "contexts"), 1, match - gram + 1
     while True:
         parts = min(width, parts * SPLIT)
-        split = materialize(left.mapInArrow(_split(match, gram, parts), CONTEXT).withColumn("c", F.xxhash64("context", "lo", "hi")), "split")
+        split = materialize(left.mapInArrow(frugal(_split(match, gram, parts)), CONTEXT).withColumn("c", F.xxhash64("context", "lo", "hi")), "split")
         kinds = materialize(split.groupBy("g", "h", "c").agg(F.count("*").alias("n"), F.max("many").alias("many"), F.min(F.struct("lo", "hi", "rid", "q", "context")).alias("at")), "classes")
         same = split.where("NOT many").join(kinds.where("n > 1").select("g", "h", "c"), ["g", "h", "c"])
         spans = spans.unionAll(same.select("rid", (F.col("q") - F.col("hi")).alias("begin"), (F.col("q") - F.col("lo") + match).alias("end")))
@@ -351,7 +352,7 @@ def remove_repeats(df: DataFrame, key: str, text: str, match: int = MATCH, kept:
         return pa.array([m.decode("utf-8", "ignore") for m in made], pa.string()) if as_text else pa.array(made, pa.binary())
 
     joined = df.withColumn("__rid", rid).join(spans, F.col("__rid") == F.col("rid"), "left")
-    return joined.select(*[f"`{c}`" for c in rest], f"`{text}`", "spans").mapInArrow(run, schema)
+    return joined.select(*[f"`{c}`" for c in rest], f"`{text}`", "spans").mapInArrow(frugal(run), schema)
 
 
 def cut(data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[int, int, int, bytes]:
