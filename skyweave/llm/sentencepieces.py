@@ -37,7 +37,7 @@ SPACE, UNKNOWN_TEXT = "▁", " ⁇ "
 #: What a unigram model subtracts from its least score for a character without a piece.
 UNKNOWN_PENALTY = 10.0
 #: Entries of a worker's memory of words and of neighbours; characters of the words in it.
-REMEMBERED, LONG_WORD = 400_000, 48
+REMEMBERED, LONG_WORD = 250_000, 48
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -257,8 +257,10 @@ def compiled(model: bytes) -> Transducer:
     return Transducer(model)
 
 
-def encode(df: DataFrame, text: str, model: Transducer, ids: str = "ids") -> DataFrame:
-    """Replaces ``text`` by the array of its ids; null and empty texts have none.  No shuffle."""
+def encode(df: DataFrame, text: str, model: Transducer, ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Replaces ``text`` by the array of its ids; null and empty texts have none.  No shuffle.
+
+    ``decoded``: a further column, with the text that the ids decode to."""
     rest, data = [c for c in df.columns if c != text], model.model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,10 +269,13 @@ def encode(df: DataFrame, text: str, model: Transducer, ids: str = "ids") -> Dat
             made = [own.encode(t.as_py()) for t in b.column(len(rest))]
             offsets = np.cumsum([0, *[len(m) for m in made]])
             values = np.concatenate([*made, np.zeros(0, np.int32)])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))], [*rest, ids])
+            columns = [*b.columns[: len(rest)], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array([own.decode(m) for m in made], pa.string())] if decoded else []), schema.names)
 
     columns = [f"`{c}`" for c in rest]
-    return df.select(*columns, f"`{text}`").mapInArrow(frugal(run), df.select(*columns).schema.add(ids, T.ArrayType(T.IntegerType())))
+    schema = df.select(*columns).schema.add(ids, T.ArrayType(T.IntegerType()))
+    schema = schema.add(decoded, "string") if decoded else schema
+    return df.select(*columns, f"`{text}`").mapInArrow(frugal(run), schema)
 
 
 def decode(df: DataFrame, ids: str, model: Transducer, text: str = "text") -> DataFrame:
