@@ -63,8 +63,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, ``ids``, their number, and ``text``, decoded from them."""
     model = sentencepieces.load(MODEL)
-    ids = sentencepieces.encode(docs.select("doc_id", "text"), "text", model)
-    return sentencepieces.decode(ids.withColumn("n_ids", F.size("ids").cast("long")), "ids", model)
+    ids = sentencepieces.encode(docs.select("doc_id", "text"), "text", model, decoded="text")
+    return ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "text")
 
 
 STAGES = [("language", by_language), ("near copies", without_near_copies), ("repeats", without_repeats), ("mix", mixed), ("tokens", tokenized)]
