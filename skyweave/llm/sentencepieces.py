@@ -48,6 +48,8 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         nonlocal at
         out = shift = 0
         while True:
+            if at >= len(data):
+                raise ValueError("no SentencePiece model")
             b = data[at]
             at += 1
             out |= (b & 127) << shift
