@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skyweave.llm import language, mixing, sentencepieces, simhash, suffixes
+from skyweave.llm import language, mixing, sentencepieces, simhash, similar, suffixes
 from skyweave.llm.queries import MODEL
 from skyweave.llm.store import write
 
@@ -31,8 +31,8 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id."""
-    return _like(docs, simhash.keep_one(docs, "doc_id", "text"))
+    """One document of each group of near copies, that of the smallest id; copies share 0.8 of their 5-word shingles."""
+    return _like(docs, simhash.keep_one(docs, "doc_id", "text", found=similar.near_copies(docs, "doc_id", "text")))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

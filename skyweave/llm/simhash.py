@@ -13,7 +13,7 @@ gives a spanning forest of its links, not its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -168,25 +168,27 @@ def near_duplicates(df: DataFrame, key: str, text: str, bits: int = BITS) -> Dat
     document.  A null key links with nothing: its component is null.  Repeated rows stay.  An empty
     table gives no rows; other columns are not read."""
     marked = materialize(fingerprints(df, key, text).withColumnRenamed(key, "key"), "fingerprints")
-    return _joined(marked, bits).withColumnRenamed("key", key)
+    return joined(marked, lambda reps: link(reps, bits)).withColumnRenamed("key", key)
 
 
-def _joined(marked: DataFrame, bits: int) -> DataFrame:
+def joined(marked: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components of ``key`` by ``fp``: equal ones are linked, and those that ``link`` gives edges for."""
     known = marked.where(F.col("key").isNotNull())
     reps = materialize(known.groupBy("fp").agg(F.min("key").alias("rep")), "reps")
     # a key that comes with several texts joins their fingerprints
     same = known.groupBy("key").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x != y")
     own = known.join(same.select("key"), "key").join(reps, "fp").select(F.col("key").alias("a"), F.col("rep").alias("b"))
-    parts = components(link(reps, bits).unionAll(own), "a", "b")
+    parts = components(link(reps).unionAll(own), "a", "b")
     named = materialize(reps.join(parts, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component")), "named")
     return marked.join(named, "fp", "left").select("key", "fp", F.when(F.col("key").isNotNull(), F.col("component")).alias("component"))
 
 
-def keep_one(df: DataFrame, key: str, text: str, bits: int = BITS) -> DataFrame:
+def keep_one(df: DataFrame, key: str, text: str, bits: int = BITS, found: DataFrame | None = None) -> DataFrame:
     """The rows of ``df`` whose key is that of their component, one for each; rows of a null key stay.
 
-    All columns of ``df`` are kept.  Of several rows with the kept key one stays, the first by text."""
-    found = near_duplicates(df, key, text, bits)
+    All columns of ``df`` are kept.  Of several rows with the kept key one stays, the first by text.
+    ``found``: components in place of those of ``near_duplicates``."""
+    found = near_duplicates(df, key, text, bits) if found is None else found
     kept = materialize(found.where(F.col(key) == F.col("component")).groupBy(key).agg(F.count("*").alias("__n")).withColumnRenamed(key, "__key"), "kept")
     # a merge join at every size: what is kept grows with the input
     rows = df.join(kept.hint("merge"), F.col(f"`{key}`") == F.col("__key"))
