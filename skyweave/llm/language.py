@@ -76,17 +76,22 @@ class Profiles:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language, and 1 less the mean share of the greatest distance; ties go to the first by name."""
+        return self.measure(text)[:2]
+
+    def measure(self, text: str | None) -> tuple[str, float, int]:
+        """As ``predict``, and the number of distinct n-grams in the text, which scores fall with."""
         counted = word_counts(text) if text else {}
         if not any(c.isalpha() for w in counted for c in w):
-            return UNDETERMINED, 0.0
+            return UNDETERMINED, 0.0, 0
         if not self.languages:
-            return UNDETERMINED, 0.0
+            return UNDETERMINED, 0.0, 0
         if len(self.ids) > REMEMBERED or len(self.words) > REMEMBERED:
             self._forget()
         parts = [self.words[w] if w in self.words else self._ids(w) for w in counted]
         weights = np.repeat(np.fromiter(counted.values(), np.float64, len(parts)), [len(p) >> 2 for p in parts])
         counts = np.bincount(np.frombuffer(b"".join(parts), np.int32), weights, len(self.ids))
         seen = np.flatnonzero(counts)
+        distinct = len(seen)
         if len(seen) > self.size:
             seen = seen[counts[seen] >= np.partition(counts[seen], -self.size)[-self.size]]
         own = counts[seen]
@@ -94,7 +99,7 @@ class Profiles:
         inside = seen < len(self.known)
         far = np.abs(self.ranks[:, seen[inside]] - rank[inside]).sum(axis=1) + self.size * float((~inside).sum())
         best = int(far.argmin())
-        return self.languages[best], float(1 - far[best] / (self.size * len(seen)))
+        return self.languages[best], float(1 - far[best] / (self.size * len(seen))), distinct
 
 
 def held_out(key: Column, part: int = 2, of: int = 4) -> Column:
@@ -140,10 +145,11 @@ def fit(df: DataFrame, key: str, text: str, lang: str, sample: int = SAMPLE, siz
     return Profiles({k: v for k, v in top.items() if v}, size, length)
 
 
-def identify(df: DataFrame, text: str, profiles: Profiles, lang: str = "lang_pred", score: str = "score", keep: bool = False) -> DataFrame:
+def identify(df: DataFrame, text: str, profiles: Profiles, lang: str = "lang_pred", score: str = "score", keep: bool = False, distinct: str | None = None) -> DataFrame:
     """Replaces ``text``, or follows it if it is to ``keep``, by its predicted language and score (0 to 1).  No shuffle.
 
-    ``und`` and 0 where the text is null or has no letter, or nothing was learned.  The whole text counts."""
+    ``und`` and 0 where the text is null or has no letter, or nothing was learned.  The whole text counts.
+    ``distinct``: a column for the number of distinct n-grams."""
     rest = [c for c in df.columns if c != text]
     out = [*rest, text] if keep else rest
     names, size, length = profiles.profiles, profiles.size, profiles.length
@@ -151,8 +157,11 @@ def identify(df: DataFrame, text: str, profiles: Profiles, lang: str = "lang_pre
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(names, size, length)
         for b in batches:
-            made = [model.predict(t.as_py()) for t in b.column(len(rest))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(out)], pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], [*out, lang, score])
-
-    columns = df.select(*[f"`{c}`" for c in out])
-    return df.select(*[f"`{c}`" for c in rest], f"`{text}`").mapInArrow(frugal(run), columns.schema.add(lang, "string").add(score, "double"))
+            made = [model.measure(t.as_py()) for t in b.column(len(rest))]
+            found = [pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64()), pa.array([m[2] for m in made], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(out)], *found[: 3 if distinct else 2]], schema.names)
+
+    schema = df.select(*[f"`{c}`" for c in out]).schema.add(lang, "string").add(score, "double")
+    if distinct:
+        schema = schema.add(distinct, "long")
+    return df.select(*[f"`{c}`" for c in rest], f"`{text}`").mapInArrow(frugal(run), schema)
