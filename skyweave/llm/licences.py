@@ -1,6 +1,7 @@
 """Licence scans: a trained paragraph classifier whose predictions templates confirm.
 
-Paragraphs are lines; lines of more than ``WINDOW`` words are cut into windows that overlap by half.  A
+Paragraphs are lines, and lines without a wordless one between them are also read as one, without their
+comment markers, so that wrapped notices are whole.  More than ``WINDOW`` words are cut into windows that overlap by half.  A
 logistic regression over word 1- to 3-grams tells licence families and ``unknown``; its temperature is
 set on variants that it was not trained on.  A predicted family is confirmed if a template of it has
 ``SIMILARITY`` of its word 5-grams in the paragraph.
@@ -73,6 +74,8 @@ SHINGLE, SIMILARITY, THRESHOLD = 5, 0.8, 0.5
 GRAMS, WINDOW = 3, 64
 #: Lines of the corpus that stand for unknown in training, at most, and characters of each; variants of a template; steps and weight decay of the fit.
 NEGATIVES, LINE, VARIANTS, STEPS, DECAY = 2000, 2000, 40, 300, 1e-4
+#: What comments have before the text of a line.
+_MARKER = re.compile(r"^\s*(?:/\*+|\*+|//+|#+|;+|--+|%+|>+|<!--)+")
 _WORD = re.compile(r"[\w.+-]*\w[+]*")
 
 
@@ -117,24 +120,44 @@ class Classifier:
 
     def scan(self, text: str) -> tuple[int, list[dict]]:
         """Number of paragraphs, and what was predicted in them."""
-        windows, at, number = [], [], 0
-        for line in text.split("\n"):
-            found = words(line)
-            if not found:
-                continue
+        windows, first, last, number, block = [], [], [], 0, []
+
+        def cut(found: list[str], line: Sequence[int]) -> None:
             for k in range(0, max(1, len(found) - WINDOW // 2), WINDOW // 2) if len(found) > WINDOW else (0,):
                 windows.append(found[k : k + WINDOW])
-                at.append(number)
-            number += 1
-        out = []
+                first.append(line[k])
+                last.append(line[min(k + WINDOW, len(found)) - 1])
+
+        lines = []
+        for line in text.split("\n"):
+            found = words(line)
+            if found:
+                cut(found, [number] * len(found))
+                block.append((number, words(_MARKER.sub("", line))))
+                number += 1
+            else:
+                lines.append(block)
+                block = []
+        alone = len(windows)
+        for block in [*lines, block]:
+            if len(block) > 1:
+                cut([w for _, found in block for w in found], [n for n, found in block for _ in found])
+        out, known = [], {}
         for begin in range(0, len(windows), 4096):
             some = windows[begin : begin + 4096]
             p = self.probabilities(some)
             best = p[:, 1:].argmax(axis=1) + 1
             for k in np.flatnonzero(p[np.arange(len(some)), best] >= THRESHOLD):
-                family, own = self.families[best[k]], shingles(some[k])
+                family, own, w = self.families[best[k]], shingles(some[k]), begin + k
                 similar = max(len(own & t) / len(t) for t in self.templates[family])
-                out.append({"paragraph": at[begin + k], "family": family, "probability": float(p[k, best[k]]), "similarity": similar, "confirmed": similar >= SIMILARITY})
+                sure = similar >= SIMILARITY
+                # lines put together add what no line or window that they overlap has shown
+                if w >= alone and any((family, n) in known and known[family, n] >= sure for n in range(first[w], last[w] + 1)):
+                    continue
+                for n in range(first[w], last[w] + 1):
+                    known[family, n] = max(sure, known.get((family, n), False))
+                out.append({"paragraph": first[w], "family": family, "probability": float(p[k, best[k]]), "similarity": similar, "confirmed": sure})
+        out.sort(key=lambda f: f["paragraph"])
         return number, out
 
 
