@@ -184,20 +184,25 @@ def format_records(df: DataFrame, mappings: Sequence[Mapping] = MAPPINGS, traine
 def format_json(df: DataFrame, column: str, mappings: Sequence[Mapping] = MAPPINGS, trained: Sequence[str] = TRAINED) -> DataFrame:
     """Adds ``layout`` and ``formatted`` for JSON records of mixed layouts.
 
-    Each record's nested field paths are read from its own schema, and their hash selects the mapping.
-    Other layouts, and texts that are no JSON, get a null ``formatted``."""
+    Each record's nested field paths are read from its own schema, and their hash selects the mapping, or else
+    the one of most paths that the record has all of.  An empty list of turns gives an empty text.  Other layouts, and texts that are no JSON, get a null ``formatted``."""
     shape = F.schema_of_variant(F.try_parse_json(F.col(column)))
     own = F.array_sort(F.array_distinct(F.regexp_extract_all(F.regexp_replace(shape, r"\b(?:STRING|BIGINT|DOUBLE|BOOLEAN|VOID|VARIANT|DECIMAL\(\d+,\d+\))\b", "_"), F.lit(r"([^\s<>,:]+)(?=: )"), 1)))
     layout = F.crc32(F.array_join(own, "\n"))
-    out = F.lit(None).cast("string")
-    for m in mappings:
-        if isinstance(m, Rows):
-            continue
+    exact = within = F.lit(None).cast("string")
+    # the last condition that holds decides: the largest mapping, of equal ones the first
+    for m in sorted(reversed([m for m in mappings if not isinstance(m, Rows)]), key=lambda m: len(m.paths())):
         names = sorted({n for p in m.paths() for n in p.replace("[]", "").split(".")})
         schema = f"{m.items} array<struct<`{m.role}`:string,`{m.text}`:string>>" if isinstance(m, Messages) else ", ".join(f"`{f}` string" for f in m.paths())
         key = zlib.crc32("\n".join(names).encode())
-        out = F.when(F.col("layout") == key, _joined(m.turns(F.from_json(F.col(column), schema)), trained)).otherwise(out)
-    return df.withColumn("layout", layout).withColumn("formatted", out)
+        made = _joined(m.turns(F.from_json(F.col(column), schema)), trained)
+        fits = F.size(F.array_except(F.array(*[F.lit(n) for n in names]), F.col("__own"))) == 0
+        if isinstance(m, Messages):  # an empty list shows no fields
+            fits = fits | (F.get_json_object(F.col(column), f"$.{m.items}") == "[]")
+        exact = F.when(F.col("layout") == key, made).otherwise(exact)
+        within = F.when(fits, made).otherwise(within)
+    known = df.withColumn("__own", own).withColumn("layout", layout)
+    return known.withColumn("formatted", F.coalesce(exact, within)).drop("__own")
 
 
 def _joined(turns: Column, trained: Sequence[str]) -> Column:
