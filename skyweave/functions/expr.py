@@ -243,6 +243,10 @@ class Reduction(Expr):
 
     scalar = reduces = True
 
+    @property
+    def exact_quantile(self) -> float | None:
+        return None if self.approximate else 0.5 if self.name == "median" else self.q if self.name == "quantile" else None
+
     def parents(self): return (self.arg,)
     def compile(self, ctx): return ctx.scalar(self)
 

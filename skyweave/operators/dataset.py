@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from ..functions.errors import MissingColumnError, UnitConversionError
 from ..functions.expr import Both, Compare, Expr, IsIn, Literal, Mask, Name, Reduction, Typed, col, wrap
 from ..functions.units import Quantity, Unit, as_unit, transition
-from ..plans import hooks, octree, regions
+from ..plans import hooks, octree, quantiles, regions
 from ..plans.positions import with_position
 from ..sources.header import Header
 
@@ -32,6 +32,8 @@ SCALE_FACTOR, REDSHIFTS = "fof_halo_center_a", ("redshift", "redshift_true")
 FORMATS = ("spark", "pandas", "numpy", "arrow", "polars", "jax")
 #: Rows that ``take_rows`` sends along as a literal list; more are joined.
 LITERAL_ROWS = 10_000
+#: Rows up to which a top-k, which ends in one task, is used; beyond, rows are numbered within ranges.
+TOP_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -103,6 +105,8 @@ class _Compiler:
     def scalar(self, node: Reduction) -> Typed:
         x = node.arg.compile(self)
         made = node.aggregate(x)
+        if (q := node.exact_quantile) is not None:
+            return replace(made, column=quantiles.exact(self.ds.base, x.column, q).scalar())
         return replace(made, column=self.ds.base.agg(made.column.alias("v")).scalar())
 
 
@@ -469,6 +473,9 @@ class Dataset:
             keys = [F.xxhash64(F.lit(seed), *self.order).asc(), *[F.asc(c) for c in self.order]]
         else:
             raise ValueError(f"at {at!r}: random, start or end")
+        if n > TOP_ROWS and at != "random":
+            placed = with_position(self.base, [(c, down != (at == "end")) for c, down in self._keys()])
+            return self._with(base=placed.filter(F.col("__pos") < n).drop("__pos"))
         return self._with(base=self.base.orderBy(*keys).limit(n))
 
     def take_range(self, start: int, end: int, mode: str = "global") -> Dataset:
@@ -476,6 +483,9 @@ class Dataset:
         check_mode(mode)
         if start < 0 or end < start:
             raise ValueError(f"range {start} to {end}")
+        if end > TOP_ROWS:
+            placed = with_position(self.base, self._keys())
+            return self._with(base=placed.filter((F.col("__pos") >= start) & (F.col("__pos") < end)).drop("__pos"))
         return self._with(base=self.base.orderBy(*self._ordering()).offset(start).limit(end - start))
 
     def take_rows(self, rows: Sequence[int]) -> Dataset:
@@ -543,15 +553,14 @@ class Dataset:
         if isinstance(region, regions.Box) and all(r is not None for r in raw) and len({r[1] for r in raw}) == 1:
             inside, cols = region.scaled(1 / raw[0][1]), [r[0] for r in raw]
         exact = inside.predicate(*cols)
-        if self.key and self.key[0] in self.base.columns:
-            name, level, size, computed = (*self.key, False)[:4]
+        if self.key and self.key[0] in self.base.columns and not (self.key[3:] and self.key[3]):  # a key that is worked out prunes nothing
+            name, level, size = self.key[:3]
             if isinstance(inside, regions.Box):
-                exact = octree.in_ranges(F.col(name), octree.key_ranges(inside, size, level), computed) & exact
+                exact = octree.in_ranges(F.col(name), octree.coarser(octree.key_ranges(inside, size, level))) & exact
             elif hasattr(region, "pixels"):
-                shift = 2 * (level - COARSE) if level > COARSE else 0
-                near = regions.PixelSet(1 << min(level, COARSE), tuple(region.pixels(1 << min(level, COARSE)).tolist()))
-                runs = [(lo << shift, ((hi + 1) << shift) - 1) for lo, hi in regions.healpix.ranges(np.array(near.pixel, np.int64))]
-                exact = octree.in_ranges(F.col(name), runs, computed) & exact
+                at = max(0, min(level, COARSE))
+                runs = [(lo << 2 * (level - at), ((hi + 1) << 2 * (level - at)) - 1) for lo, hi in regions.healpix.ranges(region.pixels(1 << at))]
+                exact = octree.in_ranges(F.col(name), octree.coarser(runs)) & exact
         return self._with(base=self.base.filter(exact), region=region)
 
     def _unit_of(self, name: str) -> Unit | None:
@@ -597,6 +606,8 @@ class _InAggregate(_Compiler):
         super().__init__(ds, env)
 
     def scalar(self, node: Reduction) -> Typed:
+        if node.exact_quantile is not None:
+            return replace(one := super().scalar(node), column=F.max(one.column))
         return node.aggregate(node.arg.compile(_Compiler(self.ds, self.env)))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .regions import Box
 
+
 def _spread(x: Column, bits: int) -> Column:
     """The lowest bits to every third place; ``x`` is bound once, as its terms would repeat it."""
     terms = lambda v: sum((F.shiftleft(F.shiftright(v, b).bitwiseAND(F.lit(1)), 3 * b) for b in range(1, bits)), v.bitwiseAND(F.lit(1)))
@@ -25,7 +26,7 @@ def key_column(coords: Sequence[Column], box_size: float, level: int) -> Column:
 
 
 def key_ranges(box: Box, box_size: float, level: int, most: int = 256) -> list[tuple[int, int]]:
-    """Runs of keys at ``level`` whose cells may meet a box, at most about ``most`` of them; coarser cells stand for finer ones."""
+    """Runs of keys at ``level`` whose cells may meet a box, made of about ``most`` cells; coarser cells stand for finer ones."""
     cells, depth = [(0, 0, 0, 0)], 0
     done: list[tuple[int, int]] = []
     while cells and depth < level and len(cells) + len(done) <= most:
@@ -56,14 +57,25 @@ def key_ranges(box: Box, box_size: float, level: int, most: int = 256) -> list[t
     return out
 
 
-def in_ranges(key: Column, runs: Sequence[tuple[int, int]], computed: bool = False) -> Column:
-    """Whether a key is in one of the runs.  Stored keys are compared as they are, which the scan can use; computed ones are bound once."""
-    if computed:
-        return F.exists(F.array(key), lambda k: in_ranges(k, runs))
-    out = F.lit(False)
-    for lo, hi in runs:
-        out = out | ((key >= F.lit(lo)) & (key <= F.lit(hi)))
-    return out
+#: Runs that a predicate for pruning names at most.
+MOST_RUNS = 128
+
+
+def coarser(runs: Sequence[tuple[int, int]], most: int = MOST_RUNS) -> list[tuple[int, int]]:
+    """At most ``most`` runs that cover the given ones, in their order: the smallest gaps are closed."""
+    if len(runs) <= most:
+        return list(runs)
+    low, high = np.array([r[0] for r in runs]), np.array([r[1] for r in runs])
+    cut = np.sort(np.argsort(low[1:] - high[:-1], kind="stable")[len(runs) - most :])
+    return list(zip(low[np.r_[0, cut + 1]].tolist(), high[np.r_[cut, len(runs) - 1]].tolist(), strict=True))
+
+
+def in_ranges(key: Column, runs: Sequence[tuple[int, int]]) -> Column:
+    """Whether a key is in one of the runs, as a balanced tree, so that depth grows with the logarithm of their number."""
+    tests = [(key >= F.lit(lo)) & (key <= F.lit(hi)) for lo, hi in runs] or [F.lit(False)]
+    while len(tests) > 1:
+        tests = [a | b for a, b in zip(tests[::2], tests[1::2], strict=False)] + tests[len(tests) // 2 * 2 :]
+    return tests[0]
 
 
 def cell_counts(df: DataFrame, key: Column, level: int, fold: int = 3) -> DataFrame:

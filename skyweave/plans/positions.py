@@ -3,32 +3,54 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Ranges that rows are counted over; their boundaries are literals in the plan.
-RANGES = 64
+#: Ranges that rows are counted over: as many as shuffle partitions, between these.  Their boundaries are literals in the plan.
+RANGES, MOST_RANGES = 64, 512
+#: Rows, those of the least hashes, that boundaries are taken from, for each range.
+SAMPLED = 16
 
 
-def with_position(df: DataFrame, order: Sequence[tuple[Column, bool]], name: str = "__pos", ranges: int = RANGES) -> DataFrame:
+def _after(keys: Sequence[Column], bound: Sequence[Any], types: Sequence[T.DataType], down: Sequence[bool]) -> Column:
+    """Whether a row comes after a bound: by the first key that differs, nulls first, or last where a key descends."""
+    out = F.lit(False)
+    for k, b, t, d in reversed(list(zip(keys, bound, types, down, strict=True))):
+        if b is None:
+            here, same = F.lit(False) if d else k.isNotNull(), k.isNull()
+        else:
+            value = F.lit(b).cast(t)
+            here, same = (k.isNull() | (k < value) if d else F.coalesce(k > value, F.lit(False))), k.eqNullSafe(value)
+        out = here | (same & out)
+    return F.coalesce(out, F.lit(False))
+
+
+def with_position(df: DataFrame, order: Sequence[tuple[Column, bool]], name: str = "__pos", ranges: int | None = None) -> DataFrame:
     """Adds positions from 0 in an order of keys, each with whether it descends, the last of which tells rows apart.
 
-    If the first key is a number, rows are dealt into ranges of it by approximate quantiles, counted,
-    and numbered within their range; else they are numbered at once."""
-    keyed = df.withColumns({f"__k{i}": c for i, (c, _) in enumerate(order)})
-    first = keyed.schema["__k0"].dataType
-    down = order[0][1]
-    keys = [F.desc(f"__k{i}") if d else F.asc(f"__k{i}") for i, (_, d) in enumerate(order)]
-    drop = [f"__k{i}" for i in range(len(order))]
-    if not isinstance(first, T.NumericType):
-        return keyed.withColumn(name, (F.row_number().over(W.orderBy(*keys)) - 1).cast("long")).drop(*drop)
-    cuts = keyed.agg(F.percentile_approx(F.col("__k0").cast("double"), F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(1000))).first()[0] or []
-    value = F.col("__k0").cast("double")
-    bucket = sum((F.when(value > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
-    dealt = keyed.withColumn("__bucket", -bucket if down else bucket)
+    Rows are dealt into ranges of all keys, so that equal first keys are spread too, by quantiles of a sample,
+    counted, and numbered within their range."""
+    ranges = ranges or min(MOST_RANGES, max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+    drop, down = [f"__k{i}" for i in range(len(order))], [d for _, d in order]
+    keyed = df.withColumns({k: c for k, (c, _) in zip(drop, order, strict=True)})
+    types, cols = [keyed.schema[k].dataType for k in drop], [F.col(k) for k in drop]
+    keys = [F.desc(k) if d else F.asc(k) for k, d in zip(drop, down, strict=True)]
+    few = keyed.select(*drop).orderBy(F.xxhash64(*drop)).limit(SAMPLED * ranges)
+    rows = [tuple(r) for r in few.orderBy(*keys).collect()]
+    bounds = list(dict.fromkeys(rows[len(rows) * k // ranges] for k in range(1, ranges))) if rows else []
+
+    def place(a: int, b: int) -> Column:
+        """Of ranges a to b, by halves."""
+        if a == b:
+            return F.lit(a)
+        m = (a + b) // 2
+        return F.when(_after(cols, bounds[m], types, down), place(m + 1, b)).otherwise(place(a, m))
+
+    dealt = keyed.withColumn("__bucket", place(0, len(bounds)))
     before = F.sum("__n").over(W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1))
     counts = dealt.groupBy("__bucket").agg(F.count("*").alias("__n")).select("__bucket", F.coalesce(before, F.lit(0)).alias("__before"))  # a row a range
     own = F.row_number().over(W.partitionBy("__bucket").orderBy(*keys))

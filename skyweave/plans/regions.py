@@ -150,15 +150,15 @@ class PixelSet(Region):
         return self.computed_predicate(healpix.pixel_column(self.nside, ra, dec))
 
     def pixel_predicate(self, pixel: Column) -> Column:
-        """Runs of pixels as ranges, which reach the scan for stored pixels."""
-        out = F.lit(False)
-        for lo, hi in healpix.ranges(np.array(self.pixel, np.int64)):
-            out = out | ((pixel >= F.lit(lo)) & (pixel <= F.lit(hi)))
-        return out
+        """Few runs of pixels as ranges, which reach the scan for stored pixels; many are looked up, within the first and the last."""
+        from .octree import MOST_RUNS, coarser, in_ranges
+
+        runs = healpix.ranges(np.array(self.pixel, np.int64))
+        return in_ranges(pixel, runs) if len(runs) <= MOST_RUNS else in_ranges(pixel, coarser(runs)) & self.computed_predicate(pixel)
 
     def computed_predicate(self, pixel: Column) -> Column:
-        """The same for a pixel that is worked out, which is bound once."""
-        return F.exists(F.array(pixel), self.pixel_predicate)
+        """The same for a pixel that is worked out: a lookup names it once."""
+        return pixel.isin(list(self.pixel))
 
     def holds(self, points):
         p = _points(points, 2)

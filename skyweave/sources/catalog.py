@@ -299,7 +299,8 @@ def _session(obj: Any) -> SparkSession:
 def _write(files: _Files, path: str, obj: Any, partitions: int | None, links: dict | None = None) -> None:
     if isinstance(obj, SimulationCollection):
         for n, m in obj.items():
-            _write(files, f"{path}/{n}", m, partitions)
+            # a dataset in a folder of its own within its simulation's, so that simulations are told from the datasets of one
+            _write(files, f"{path}/{n}/{m.header.data_type}" if isinstance(m, Dataset) else f"{path}/{n}", m, partitions)
         return
     if isinstance(obj, StructureCollection):
         own = {("galaxy_properties" if n == "galaxies" else n): {"parent": ln.parent, "child": ln.child, "single": ln.single} for n, ln in obj._links.items()}
