@@ -15,14 +15,17 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.errors import MissingColumnError
 from ..functions.expr import Expr
 from ..operators import evaluate as ev
 from ..operators.dataset import Dataset, Stored, matching
+from ..operators.groups import whole_groups
 from .lightcone import Lightcone
 
 #: Names of links in stored data, and of the children they lead to.
@@ -374,32 +377,35 @@ class StructureCollection:
         key_names = [f"__k{i}" for i in range(nk)]
         order_names = [c for c in frames.columns if c.startswith("__o")]
 
-        def call(pdf: pd.DataFrame) -> tuple[dict[str, Any], pd.DataFrame]:
-            args: dict[str, Any] = {}
-            rows_of_target = pdf.iloc[:0]
-            for tag, m in enumerate(used):
-                mine = pdf[pdf["__tag"] == tag]
-                if len(mine) > 1:
-                    places = [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in mine[f"__sort{tag}"]]
-                    mine = mine.iloc[sorted(range(len(mine)), key=places.__getitem__)]
-                if m == target:
-                    rows_of_target = mine
-                cells = mine[m].tolist()
-                columns = {c: ev.formed(pd.Series([x[c] for x in cells]), format) for c in inputs[m]}
-                if m == self_name:
-                    args[m] = {c: v[0] for c, v in columns.items()} if len(mine) else {}
-                else:
-                    args[m] = columns
-            if flat:
-                args = args[used[0]]
-            return ev.named(name, func(**args, **extra)), rows_of_target
+        def split(t: pa.Table, begin: np.ndarray) -> Iterator[tuple[dict[str, Any], np.ndarray]]:
+            """For each group of rows, what the function makes of it, and which rows are the target's (or the parent's)."""
+            tag, group = t["__tag"].to_numpy(), np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+            at, columns, edges = {}, {}, {}
+            for k, m in enumerate(used):
+                at[m] = np.flatnonzero(tag == k)
+                cells = t[m].combine_chunks().take(pa.array(at[m]))
+                columns[m] = {c: cells.field(c).to_pandas() for c in inputs[m]}
+                edges[m] = np.searchsorted(group[at[m]], np.arange(len(begin)))
+            home = target or (self_name if self_name in used else None)
+            for g in range(len(begin) - 1):
+                args: dict[str, Any] = {}
+                mine = np.arange(begin[g], begin[g] + 1) if home is None else at[home][edges[home][g] : edges[home][g + 1]]
+                if not len(mine):  # a parent that is not there
+                    continue
+                for m in used:
+                    low, high = edges[m][g], edges[m][g + 1]
+                    found = {c: ev.formed(x.iloc[low:high].reset_index(drop=True) if format == "pandas" else x.iloc[low:high], format) for c, x in columns[m].items()}
+                    args[m] = ({c: v[0] for c, v in found.items()} if high > low else {}) if m == self_name else found
+                yield ev.named(name, func(**(args[used[0]] if flat else args), **extra)), mine
 
         self_name = self.source_name
         first_key = frames.where(F.col("__tag") == used.index(target) if target else F.col("__tag") == 0).limit(1).select(*key_names).first()
-        probe = frames.where(functools.reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in zip(key_names, first_key, strict=True)])).toPandas() if first_key else None
-        if probe is None or not len(probe):
+        sorts = [*key_names, "__tag", *[f"__sort{k}" for k in range(len(used))]]
+        probe = frames.where(functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(key_names, first_key, strict=True)])).orderBy(*sorts).drop(*sorts[nk + 1 :]).toArrow() if first_key else None
+        found = next(split(probe.combine_chunks(), np.array([0, probe.num_rows])), None) if probe is not None and probe.num_rows else None
+        if found is None:
             raise ValueError("no structure to try the function on")
-        made, rows_of_target = call(probe)
+        made, rows_of_target = found
         if any(v is None for v in made.values()):
             if insert:
                 raise ValueError("a function that makes nothing")
@@ -410,23 +416,28 @@ class StructureCollection:
         fields = {f.name: f for f in frames.schema.fields}
         outs = [fields[c] for c in [*key_names, *(order_names if target else [])]] + [T.StructField(f"__r_{k}", t) for k, (t, _) in kinds.items()]
 
-        def each(pdf: pd.DataFrame) -> pd.DataFrame:
-            if not (pdf["__tag"] == (used.index(target) if target else used.index(self_name) if self_name in used else pdf["__tag"].iloc[0])).any():
-                return pd.DataFrame({f.name: [] for f in outs})
-            made, rows = call(pdf)
-            if target:
-                out = rows[[*key_names, *order_names]].copy()
-                for k in kinds:
-                    values = ev.column_of(made[k], len(rows))
-                    out[f"__r_{k}"] = list(values)
-                return out
-            one = pdf[key_names].iloc[:1].copy()
-            for k in kinds:
-                v = ev.strip(made[k])
-                one[f"__r_{k}"] = [v.tolist() if isinstance(v, np.ndarray) else v]
-            return one
-
-        result = frames.groupBy(*key_names).applyInPandas(each, T.StructType(outs))
+        schema = T.StructType(outs)
+        arrow = to_arrow_schema(schema)
+        same = [*key_names, *(order_names if target else [])]
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t, begin in whole_groups(batches, key_names):
+                rows, values = [], {k: [] for k in kinds}
+                for made, mine in split(t, begin):
+                    rows.append(mine if target else mine[:1])
+                    for k, v in values.items():
+                        if target:
+                            v.extend(ev.column_of(made[k], len(mine)))
+                        else:
+                            one = ev.strip(made[k])
+                            v.append(one.tolist() if isinstance(one, np.ndarray) else one)
+                if rows:
+                    at = pa.array(np.concatenate(rows))
+                    yield pa.RecordBatch.from_arrays([*[t[c].combine_chunks().take(at).cast(arrow.field(c).type) for c in same], *[pa.array(values[k], arrow.field(f"__r_{k}").type) for k in kinds]], schema=arrow)
+
+        # members of a parent are brought together by one shuffle, and sorted by Spark, which can spill; by a hash of the key, as Spark leaves
+        # out a shuffle by columns that the plan below is dealt by, and may split or merge that one
+        result = frames.repartition(F.xxhash64(*key_names)).sortWithinPartitions(*sorts).drop(*sorts[nk + 1 :]).mapInArrow(each, schema)
         home = tables[target] if target else self._source
         on = list(zip(self._links[target].child if target else pk, key_names, strict=True)) + list(zip(home.order, order_names, strict=False) if target else [])
         condition = functools.reduce(lambda a, b: a & b, [F.col(f"h.{a}").eqNullSafe(F.col(f"r.{b}")) for a, b in on])

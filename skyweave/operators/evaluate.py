@@ -8,11 +8,14 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.units import Quantity, Unit
 from ..plans.positions import with_position
+from .groups import whole_groups
 
 FORMATS = ("numpy", "pandas", "arrow", "polars", "jax")
 
@@ -142,7 +145,19 @@ def run(ds: Any, func: Callable, *, vectorize: bool, insert: bool, format: str,
     if batch_size > 0:
         placed = with_position(base, ds._keys())
         batches = placed.withColumn("__batch", F.floor(F.col("__pos") / batch_size))
-        result = batches.groupBy("__batch").applyInPandas(lambda pdf: filled(pdf.sort_values("__pos", kind="stable")), schema)
+        arrow = to_arrow_schema(schema)
+
+        def in_runs(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t, begin in whole_groups(found, ["__batch"]):
+                pdf, made = t.select(list(args.values())).to_pandas(), {k: [] for k in kinds}
+                for a, b in zip(begin, begin[1:], strict=False):
+                    one = whole(pdf.iloc[a:b].reset_index(drop=True))
+                    for k, v in made.items():
+                        v.extend(column_of(one[k], int(b - a)))
+                old = [t[c].combine_chunks().cast(arrow.field(c).type) for c in keep]
+                yield pa.RecordBatch.from_arrays([*old, *[pa.array(made[k], arrow.field(stored[k]).type) for k in kinds]], schema=arrow)
+
+        result = batches.repartition(F.xxhash64("__batch")).sortWithinPartitions("__batch", "__pos").mapInArrow(in_runs, schema)
     elif vectorize and not elementwise:
         placed = with_position(base, ds._keys())
         result = placed.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(lambda pdf: filled(pdf.sort_values("__pos", kind="stable")), schema)
