@@ -152,7 +152,8 @@ def link(reps: DataFrame, bits: int = BITS, node: int = NODE) -> DataFrame:
         placed = entries.select(F.explode(F.element_at(pick, F.col("mask"))).alias("mask"), "fp", "rep").withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
         counts = write(placed.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1"), "nodes").df
         small = placed.join(counts.where(F.col("n") <= node), ["mask", "value"]).select("mask", "value", "fp", "rep")
-        found = small.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(frugal(_link_nodes(bits)), schema)
+        # by a hash, as Spark leaves out a shuffle by columns that a join below is dealt by, and may split that one
+        found = small.repartition(F.xxhash64("mask", "value")).sortWithinPartitions("mask", "value").mapInArrow(frugal(_link_nodes(bits)), schema)
         edges = found if edges is None else edges.unionAll(found)
         hot = counts.where(F.col("n") > node)
         masks = [m & ((1 << 64) - 1) for (m,) in hot.select("mask").distinct().collect()]  # a few, from a fixed tree of masks

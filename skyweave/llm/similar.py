@@ -1,14 +1,23 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
+"""Near copies by SimHash fingerprints of word shingles, checked by exact Jaccard similarity.
 
-Texts of one set of shingles are one entry.  Entries that share a bucket are candidates: a bucket is the
-hash of ``ROWS`` of the ``ROWS * BANDS`` minima of a set under random orders, so a pair of similarity
-0.8 shares none with a probability of 2e-7, and of more with less.  Candidates are compared by whole sets,
-first each with the smallest entry of its buckets; all pairs of a bucket that this leaves in different
-groups are compared after.
+Texts of one set of shingles are one entry.  64 bits can't tell a similarity of 0.8 from chance within a few bits, so
+the fingerprint of an entry has ``WORDS`` x 64 bits: a pair of similarity s differs in each with a
+probability of acos(2s / (1 + s)) / pi, 0.15 at 0.8.  The Gray-order index of ``simhash`` finds candidates:
+
+1. *Upper nodes* are masked bit patterns: runs of bits that entries share whole.  Each entry goes to the nodes of its runs, which
+   are wider, and more, the more entries there are, so that nodes stay small and a pair of similarity 0.8 shares
+   a node with a probability of ``RECALL`` at every size.
+2. *Within a node* entries stand in Gray order of other bits (the sketch), groups are factored into masks and patterns, and pairs of groups
+   are pruned whole by accumulated differences, as in ``simhash.linked_pairs``.
+3. *Groups* of more than ``FEW`` candidates in a node are not paired: they become stars, and what a star's checks leave
+   in several parts is joined by stars again, from each row to the closest one of the largest part; at last
+   pairs between the parts that remain are compared, where the whole fingerprints are close enough.
+4. Candidates are compared by whole sets of shingles: only pairs of similarity 0.8 or more are links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,18 +25,24 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .arrow import frugal
-from .components import components
-from .simhash import joined
+from .components import components, forest
+from .simhash import gray_rank, joined, linked_pairs
 from .store import materialize
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
-ROWS, BANDS = 4, 30
-_RNG = np.random.default_rng(5)
-_TIMES, _PLUS = (_RNG.integers(0, 1 << 63, ROWS * BANDS, np.uint64) | np.uint64(1) for _ in range(2))
-_MIX = _RNG.integers(0, 1 << 63, ROWS, np.uint64) | np.uint64(1)
+#: Words of a fingerprint that nodes are made of, and of its sketch.
+WORDS, SKETCH = 16, 2
+#: Probability that a pair of the least similarity shares a node; entries that a node has by chance, as a power of 2; bits of a node at least.
+RECALL, CROWD, LEAST_BITS = 0.99, 8, 16
+#: Candidates of a node that are paired at most; entries of a node that are compared at once; rounds of stars.
+FEW, BLOCK, ROUNDS = 8, 1024, 3
+#: Standard deviations that the differing bits of candidates may be above the mean of the least similarity.
+SPREAD = 3.2
+#: Pairs of entries that nodes processed together have at most, unless one node has more.
+PAIRS = 1 << 20
+_TIMES = np.random.default_rng(9).integers(0, 1 << 63, WORDS + SKETCH, np.uint64) | np.uint64(1)
 
 
 def shingles(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -50,31 +65,216 @@ def _named(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), SEED)
 
 
-def buckets(found: np.ndarray) -> np.ndarray:
-    """Hashes of the bands of minima; none for an empty set."""
-    if not len(found):
-        return np.zeros(0, np.uint64)
-    least = np.full(ROWS * BANDS, ~np.uint64(0))
-    for at in range(0, len(found), 1024):
-        np.minimum(least, (found[at : at + 1024, None] * _TIMES + _PLUS).min(axis=0), out=least)
-    h = ((least ^ least >> np.uint64(31)).reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64)
-    h = (h ^ h >> np.uint64(32)) * _TIMES[:BANDS] + _PLUS[:BANDS]
-    return h ^ h >> np.uint64(29)
+def fingerprint(found: np.ndarray) -> np.ndarray:
+    """``WORDS + SKETCH`` words: a bit is 1 if set in over half of the hashes that follow from each shingle's; 0 for no shingles."""
+    ones = np.zeros(64 * len(_TIMES), np.int64)
+    for at in range(0, len(found), 255):
+        h = found[at : at + 255, None] * _TIMES
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        ones += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(found), bitorder="little").view(np.uint64)
+
+
+def differing(similarity: float) -> float:
+    """Share of bits in which fingerprints of two sets of one size differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def most_bits(similarity: float, words: int) -> int:
+    """Bits in which candidates differ at most."""
+    p, n = differing(similarity), 64 * words
+    return int(n * p + SPREAD * math.sqrt(n * p * (1 - p)))
+
+
+def node_shape(entries: int, similarity: float = SIMILARITY) -> tuple[int, int]:
+    """Bits of a node and number of nodes of an entry."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(2, entries))) - CROWD)
+    return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - differing(similarity)) ** bits))
+
+
+def nodes(code: np.ndarray, bits: int, count: int) -> np.ndarray:
+    """Names of the nodes of codes (a row each): runs of ``bits`` bits that begin at even distances, with their place."""
+    flat = np.unpackbits(np.ascontiguousarray(code[:, :WORDS]).view(np.uint8), axis=1, bitorder="little")
+    first = np.arange(count) * 64 * WORDS // count
+    runs = flat[:, (first[:, None] + np.arange(bits)) % (64 * WORDS)]
+    return (np.arange(count) << 40) + runs @ (1 << np.arange(bits, dtype=np.int64))
 
 
 def _marked(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """``key``, ``fp``, the hash of the set, and its buckets."""
+    """``key``, ``fp``, the hash of the set, and ``code``, its fingerprint; null for no shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t.as_py(), shingle) for t in b.column(1)]
-            fp = np.array([_named(s) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array([buckets(s).view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "fp", "buckets"])
+            fp, codes = [], []
+            for t in b.column(1):
+                found = shingles(t.as_py(), shingle)
+                fp.append(_named(found))
+                codes.append(fingerprint(found).tobytes() if len(found) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(codes, pa.binary())], ["key", "fp", "code"])
 
-    kind = df.select(F.col(f"`{key}`").alias("key")).schema.add("fp", "long").add("buckets", T.ArrayType(T.LongType()))
+    kind = df.select(F.col(f"`{key}`").alias("key")).schema.add("fp", "long").add("code", "binary")
     return df.select(f"`{key}`", f"`{text}`").mapInArrow(frugal(run), kind)
 
 
+def _codes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WORDS + SKETCH)
+
+
+def _placed(entries: DataFrame, bits: int, count: int) -> DataFrame:
+    """``node``, ``fp`` and the sketch: a row for each node of each entry (fp, code)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                code = _codes(part.column(1))
+                made = [nodes(code, bits, count).ravel(), np.repeat(part.column(0).to_numpy(), count), *[np.repeat(code[:, WORDS + k].view(np.int64), count) for k in range(SKETCH)]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["node", "fp", "s0", "s1"])
+
+    return entries.select("fp", "code").mapInArrow(frugal(run), "node long, fp long, s0 long, s1 long")
+
+
+def _crowded(fp: np.ndarray, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of a node too large for pairs: leaders take the rows that are close to them, what is left is compared in blocks with the first that is close."""
+    order = np.argsort(fp)
+    left, x, y = order, [], []
+    close = lambda a, b: np.bitwise_count(sketch[a][:, None] ^ sketch[b][None, :]).sum(axis=2, dtype=np.int64) <= most
+    for _ in range(32):
+        if len(left) < 2:
+            break
+        near = close(left[:1], left)[0]
+        near[0] = False
+        x.append(np.repeat(left[0], near.sum()))
+        y.append(left[near])
+        left = left[1:][~near[1:]]
+    for at in range(0, len(left), BLOCK):
+        mine = left[at : at + BLOCK]
+        for other in range(0, at + 1, BLOCK):
+            i, j = np.nonzero(close(left[other : other + BLOCK], mine))
+            i, j = left[other : other + BLOCK][i], mine[j]
+            keep = fp[i] < fp[j]
+            i, j = i[keep], j[keep]
+            first = np.unique(j, return_index=True)[1]
+            x.append(i[first])
+            y.append(j[first])
+    return np.concatenate([np.zeros(0, np.int64), *x]), np.concatenate([np.zeros(0, np.int64), *y])
+
+
+def _candidates(similarity: float):
+    """Rows ``x``, ``y``, ``crowd``: pairs of candidates, and, if ``crowd`` is not null, a member ``y`` of a group of more than ``FEW``."""
+    half, most = most_bits(similarity, 1), most_bits(similarity, SKETCH)
+
+    def flush(node: np.ndarray, fp: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+        edge = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True])
+        sizes = np.diff(edge)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # x, y, crowd (0: a pair)
+        for k in np.flatnonzero(sizes > BLOCK):
+            part = slice(edge[k], edge[k + 1])
+            i, j = _crowded(fp[part], sketch[part], most)
+            out.append((fp[part][i], fp[part][j], np.zeros(len(i), np.int64)))
+            inside = np.unique(np.r_[i, j])
+            out.append((np.zeros(len(inside), np.int64), fp[part][inside], np.full(len(inside), node[part][0] | 1 << 62)))
+        small = np.repeat((sizes > 1) & (sizes <= BLOCK), sizes)
+        node, fp, sketch = node[small], fp[small], sketch[small]
+        if len(node):
+            order = np.lexsort((gray_rank(sketch[:, 0].copy()), node))
+            node, fp, sketch = node[order], fp[order], sketch[order]
+            i, j = linked_pairs(np.ascontiguousarray(sketch[:, 0]), node, half)
+            near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64) <= most
+            i, j = i[near], j[near]
+            root = forest(i, j, np.arange(len(node)))
+            many = np.bincount(root, minlength=len(node))[root] > FEW
+            pair = ~many[i]
+            out.append((fp[i[pair]], fp[j[pair]], np.zeros(pair.sum(), np.int64)))
+            if many.any():
+                # in groups, each row's candidate of the least name
+                a, b = np.r_[i[~pair], j[~pair]], np.r_[j[~pair], i[~pair]]
+                by = np.lexsort((fp[a], b))
+                a, b = a[by], b[by]
+                first = np.r_[True, b[1:] != b[:-1]]
+                a, b = a[first], b[first]
+                out.append((fp[a], fp[b], np.zeros(len(a), np.int64)))
+                inside = np.flatnonzero(many)
+                crowd = np.array([xxhash.xxh64_intdigest(x.tobytes()) >> 2 | 1 for x in np.stack([node[inside], fp[root[inside]]], axis=1)], np.int64)
+                out.append((np.zeros(len(inside), np.int64), fp[inside], crowd))
+        x, y, c = (np.concatenate(v) if out else np.zeros(0, np.int64) for v in (zip(*out, strict=True) if out else ((), (), ())))
+        pair = c == 0
+        x, y = np.where(pair, np.minimum(x, y), x), np.where(pair, np.maximum(x, y), y)
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(c, mask=pair)], ["x", "y", "crowd"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = [c.to_numpy() for c in b.columns]
+            if kept:
+                now = [np.concatenate(x) for x in zip(kept, now, strict=True)]
+            edge = np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]])
+            cost = np.cumsum(np.diff(np.r_[edge, len(now[0])]).astype(np.int64) ** 2)
+            at = 0
+            while at < len(edge) - 1:  # the last node may go on
+                end = min(len(edge) - 1, max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + PAIRS, "right"))))
+                part = slice(edge[at], edge[end])
+                yield flush(now[0][part], now[1][part], np.stack([now[2][part], now[3][part]], axis=1).view(np.uint64))
+                at = end
+            kept = [x[edge[-1] :].copy() for x in now]
+        if kept:
+            yield flush(kept[0], kept[1], np.stack(kept[2:], axis=1).view(np.uint64))
+
+    return run
+
+
+def _between(similarity: float, last: bool):
+    """Of groups (crowd, g, fp, code), sorted by crowd: pairs of close members of different parts ``g``.
+
+    Each row with the closest one of the largest part; ``last``: with all."""
+    most = most_bits(similarity, WORDS + SKETCH)
+
+    def pairs(g: np.ndarray, fp: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        names, part, sizes = np.unique(g, return_inverse=True, return_counts=True)
+        main = part == sizes.argmax()
+        rest, home = np.flatnonzero(~main), np.flatnonzero(main)
+        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(rest), 256):
+            mine = rest[at : at + 256]
+            closest, best = np.full(len(mine), most + 1), np.full(len(mine), -1)
+            others = np.arange(len(g)) if last else home
+            for to in range(0, len(others), BLOCK):
+                there = others[to : to + BLOCK]
+                away = np.zeros((len(mine), len(there)), np.int64)
+                for w in range(code.shape[1]):
+                    away += np.bitwise_count(code[mine, w][:, None] ^ code[there, w][None, :])
+                if last:
+                    i, j = np.nonzero((away <= most) & (part[mine][:, None] != part[there][None, :]))
+                    x.append(fp[mine[i]])
+                    y.append(fp[there[j]])
+                else:
+                    k = away.argmin(axis=1)
+                    d = away[np.arange(len(mine)), k]
+                    better = d < closest
+                    closest[better], best[better] = d[better], there[k[better]]
+            if not last:
+                found = best >= 0
+                x.append(fp[mine[found]])
+                y.append(fp[best[found]])
+        return np.concatenate(x), np.concatenate(y)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..operators.groups import whole_groups
+
+        for t, begin in whole_groups(batches, ["crowd"]):
+            g, fp, code = t["g"].to_numpy(), t["fp"].to_numpy(), _codes(t["code"])
+            for a, b in zip(begin, begin[1:], strict=False):
+                x, y = pairs(g[a:b], fp[a:b], code[a:b])
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
+
+    return run
+
+
 def _sets(df: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -100,26 +300,34 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def near_copies(df: DataFrame, key: str, text: str, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """``key``, ``fp`` and ``component`` for each row of ``df``: the smallest key that pairs of similar texts lead to.
 
-    Null and wordless texts are equal.  Rows of one key are one document.  A null key is alone: its component is null."""
+    Null and wordless texts are equal.  Rows of one key are one document.  A null key is alone: its component is null.
+    An empty table gives no rows; other columns are not read.  Of pairs of similarity 0.8 a share of ``RECALL`` is found, of more similar ones more."""
     marked = materialize(_marked(df, key, text, shingle), "shingles")
-    entries = marked.where(F.col("key").isNotNull()).select("fp", F.explode("buckets").alias("bucket")).distinct()
-    full = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("fp").alias("first")).where("n > 1")
-    members = materialize(entries.join(full.drop("n"), "bucket"), "members")
-    wanted = materialize(members.select("fp").distinct(), "wanted")
-    known = marked.where(F.col("key").isNotNull()).groupBy("fp").agg(F.min("key").alias("key"))
-    source = known.join(wanted, "fp").select(F.col("key").alias("__key")).distinct()
+    entries = materialize(marked.where("key IS NOT NULL AND code IS NOT NULL").groupBy("fp", "code").agg(F.min("key").alias("key")), "entries")
+    bits, count = node_shape(entries.count(), similarity)
+    placed = _placed(entries, bits, count).repartition("node").sortWithinPartitions("node")
+    found = materialize(placed.mapInArrow(frugal(_candidates(similarity)), "x long, y long, crowd long"), "candidates")
+    pairs = materialize(found.where("crowd IS NULL").select("x", "y").distinct(), "pairs")
+    wanted = pairs.select(F.col("x").alias("fp")).unionAll(pairs.select("y")).unionAll(found.where("crowd IS NOT NULL").select("y")).distinct()
+    source = entries.join(wanted, "fp").select(F.col("key").alias("__key")).distinct()
     # a merge join at every size: texts
-    texts = df.select(f"`{key}`", f"`{text}`").join(source.hint("merge"), F.col(f"`{key}`") == F.col("__key")).select(f"`{text}`")
+    texts = df.select(F.col(f"`{key}`").alias("__own"), F.col(f"`{text}`").alias("__text")).join(source.hint("merge"), F.col("__own") == F.col("__key")).select("__text")
     sets = materialize(_sets(texts, shingle).dropDuplicates(["fp"]), "sets")
-    stars = members.where("fp != first").select(F.col("first").alias("x"), F.col("fp").alias("y")).distinct()
-    found = materialize(_alike(stars, sets, similarity), "alike")
-    group = components(found, "x", "y")
-    placed = members.join(group, F.col("fp") == F.col("node"), "left").select("bucket", "fp", F.coalesce("component", "fp").alias("g"))
-    mixed = placed.groupBy("bucket").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select("bucket")
-    open_ = materialize(placed.join(mixed, "bucket"), "open")
-    one, two = (open_.select("bucket", F.col("fp").alias(n), F.col("g").alias(f"g_{n}")) for n in ("x", "y"))
-    rest = one.join(two, "bucket").where("x < y AND g_x != g_y").select("x", "y").distinct().join(stars, ["x", "y"], "left_anti")
-    links = materialize(found.unionAll(_alike(rest, sets, similarity)), "links")
+    links = materialize(_alike(pairs, sets, similarity), "alike")
+    crowds = materialize(found.where("crowd IS NOT NULL").select("crowd", F.col("y").alias("fp")).join(entries.select("fp", "code"), "fp"), "crowds")
+    tried = pairs
+    for round_ in range(0 if crowds.isEmpty() else ROUNDS + 1):
+        last = round_ == ROUNDS
+        group = components(links, "x", "y")
+        parts = crowds.join(group, F.col("fp") == F.col("node"), "left").select("crowd", F.coalesce("component", "fp").alias("g"), "fp", "code")
+        open_ = parts.groupBy("crowd").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select("crowd")
+        parts = parts.join(open_, "crowd").repartition(F.xxhash64("crowd")).sortWithinPartitions("crowd")
+        more = parts.mapInArrow(frugal(_between(similarity, last)), "x long, y long").distinct().join(tried, ["x", "y"], "left_anti")
+        more = materialize(more, "pairs")
+        if more.isEmpty() and not last:
+            continue
+        tried = tried.unionAll(more)
+        links = materialize(links.unionAll(_alike(more, sets, similarity)), "alike")
 
     def link(reps: DataFrame) -> DataFrame:
         a, b = (reps.select(F.col("fp").alias(n), F.col("rep").alias(m)) for n, m in (("x", "a"), ("y", "b")))
