@@ -17,7 +17,8 @@ order of suffixes is wanted, with the common prefix of neighbours, where that ma
 5. *Recursion.*  A sample of more than ``CLASSES`` classes is split by the distance of windows from it into ``SPLIT``
    ranges, whose shared bytes are a longer sample, and gaps are named anew.  A range of one window is of one class.
 
-Hashes have 64 bits; a class is told by 64 bits more within its sample.
+Hashes have 64 bits; a class is told by 64 bits more within its sample.  Equal texts are one text (``rid``, 128 bits): they repeat wholly.
+Spans are made distinct before they are gathered, so that n copies of a text cost n times one copy.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import frugal
+from .columns import packed, passing, unpacked
 from .store import materialize
 
 MATCH, GRAM = 200, 64
@@ -143,10 +145,10 @@ def samples(rows: DataFrame, match: int, gram: int) -> DataFrame:
                 g, c, p, n, q = gaps(hasher, data, first, last, [x[4] for x in parts], match, gram)
                 k = np.searchsorted(first, p, "right") - 1
                 begin = p - first[k] + np.array([x[1] for x in parts])[k]
-                made = [np.array([x[0] for x in parts], np.int64)[k], begin << 16 | n << 8 | (q - p), g.view(np.int64), c.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["rid", "place", "g", "c"])
+                names = pa.array([x[0] for x in parts], pa.binary()).take(pa.array(k))
+                yield pa.RecordBatch.from_arrays([names, *[pa.array(x) for x in (begin << 16 | n << 8 | (q - p), g.view(np.int64), c.view(np.int64))]], ["rid", "place", "g", "c"])
 
-    return rows.select("rid", "text").mapInArrow(frugal(run), "rid long, place long, g long, c long")
+    return rows.select("rid", "text").mapInArrow(frugal(run), "rid binary, place long, g long, c long")
 
 
 def induce(group: np.ndarray, lo: np.ndarray, hi: np.ndarray, context: list[bytes], match: int = MATCH) -> np.ndarray:
@@ -200,25 +202,25 @@ def induce(group: np.ndarray, lo: np.ndarray, hi: np.ndarray, context: list[byte
     return out & (column >= lo[:, None]) & (column <= hi[:, None])
 
 
-def _span_batches(rid: np.ndarray, q: np.ndarray, repeats: np.ndarray, match: int) -> pa.RecordBatch:
+def _span_batches(rid: pa.Array, q: np.ndarray, repeats: np.ndarray, match: int) -> pa.RecordBatch:
     edge = np.diff(np.pad(repeats, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, first = np.nonzero(edge == 1)
     last = np.nonzero(edge == -1)[1] - 1
-    return pa.RecordBatch.from_arrays([pa.array(rid[row]), pa.array(q[row] - last), pa.array(q[row] - first + match)], ["rid", "begin", "end"])
+    return pa.RecordBatch.from_arrays([rid.take(pa.array(row)), pa.array(q[row] - last), pa.array(q[row] - first + match)], ["rid", "begin", "end"])
 
 
-SPAN = "rid long, begin long, end long"
-CONTEXT = "g long, h long, lo int, hi int, many boolean, rid long, q long, context binary"
+SPAN = "rid binary, begin long, end long"
+CONTEXT = "g long, h long, lo int, hi int, many boolean, rid binary, q long, context binary"
 
 
 def _induced(match: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(b: pa.RecordBatch) -> pa.RecordBatch:
-            g, h, lo, hi, many, rid, q = (c.to_numpy(zero_copy_only=False) for c in b.columns[:7])
+            g, h, lo, hi, many, q = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 4, 6))
             group = np.r_[0, np.cumsum((g[1:] != g[:-1]) | (h[1:] != h[:-1]))]
             repeats = induce(group, lo.astype(np.int64), hi.astype(np.int64), b.column(7).to_pylist(), match)
             one = ~many.astype(bool)
-            return _span_batches(rid[one], q[one], repeats[one], match)
+            return _span_batches(b.column(5).filter(pa.array(one)), q[one], repeats[one], match)
 
         kept: list[pa.RecordBatch] = []
         for b in batches:
@@ -242,18 +244,22 @@ def _induced(match: int):
 
 
 def _contexts(match: int):
-    """The bytes of the gaps that a text is the example of: rows of (text, places: array of (place, g, many), rid)."""
+    """The bytes of the gaps that a text is the example of: rows of (rid, text, places: array of (place, g, many)).  Copies follow each other; one is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for b in batches:
             for rid, text, places in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2), strict=True):
+                if rid == before:
+                    continue
+                before = rid
                 t = text.as_buffer()
                 made = places.values
                 place, g = made.field("place").to_numpy(), made.field("g")
                 begin, n, far = place >> 16, place >> 8 & 255, place & 255
                 cut = [t.slice(x, y).to_pybytes() for x, y in zip(begin.tolist(), (n - 1 + match).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [g, pa.array(np.zeros(len(n), np.int64)), pa.array((far - n + 1).astype(np.int32)), pa.array(far.astype(np.int32)), made.field("many"), pa.array(np.full(len(n), rid, np.int64)), pa.array(begin + far), pa.array(cut, pa.binary())],
+                    [g, pa.array(np.zeros(len(n), np.int64)), pa.array((far - n + 1).astype(np.int32)), pa.array(far.astype(np.int32)), made.field("many"), pa.array([rid] * len(n), pa.binary()), pa.array(begin + far), pa.array(cut, pa.binary())],
                     [x.split()[0] for x in CONTEXT.split(", ")],
                 )
 
@@ -283,25 +289,35 @@ def _split(match: int, gram: int, parts: int):
     return run
 
 
+def gram_of(match: int) -> int:
+    """Bytes of a sample: ``GRAM``, for short matches half of them, for long ones enough to keep distances within 8 bits."""
+    if match < 1:
+        raise ValueError(f"matches of {match} bytes")
+    return max(1, min(GRAM, match // 2), match - 254)
+
+
 def repeated_spans(rows: DataFrame, match: int = MATCH, gram: int = GRAM, classes: int = CLASSES) -> DataFrame:
     """``rid``, ``begin``, ``end``: spans of bytes that repeated windows cover, which may overlap, of ``rows`` (rid, text)."""
+    if not 0 < gram <= match or match - gram > 254:
+        raise ValueError(f"samples of {gram} bytes for matches of {match}: no more than that, and no more than 254 fewer")
     found = samples(rows, match, gram)
     names = materialize(found.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1").select("g", (F.col("c0") != F.col("c1")).alias("multi")), "names")
     near = materialize(found.join(names, "g"), "gaps")
     multi = near.where("multi")
     kinds = materialize(multi.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place")).alias("at")), "classes")
     whole = lambda d: d.select("rid", F.shiftright("place", 16).alias("begin"), (F.shiftright("place", 16) + F.shiftright("place", 8).bitwiseAND(255) - 1 + match).alias("end"))
-    spans = whole(near.where("NOT multi")).unionAll(whole(multi.join(kinds.where("n > 1").select("g", "c"), ["g", "c"])))
+    spans = whole(near.where("NOT multi")).unionAll(whole(multi.join(kinds.where("n > 1").select("g", "c").hint("merge"), ["g", "c"])))
     hot = materialize(kinds.groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") > classes).select("g"), "hot")
     examples = kinds.select("g", (F.col("n") > 1).alias("many"), F.col("at.rid").alias("rid"), F.col("at.place").alias("place"))
 
     def contexts(which: DataFrame) -> DataFrame:
         places = which.groupBy("rid").agg(F.collect_list(F.struct("place", "g", "many")).alias("places"))
-        # copies of a row give the same bytes at the same place, of a class that has many: they are no harm
-        return rows.join(places, "rid").select("rid", "text", "places").mapInArrow(frugal(_contexts(match)), CONTEXT)
+        # a copy that is read again gives the same bytes at the same place, of a class that has many: it is no harm
+        return rows.join(places.hint("merge"), "rid").select("rid", "text", "places").mapInArrow(frugal(_contexts(match)), CONTEXT)
 
     def sort(some: DataFrame) -> DataFrame:
-        return some.repartition("g", "h").sortWithinPartitions("g", "h").mapInArrow(frugal(_induced(match)), SPAN)
+        # by a hash, as Spark leaves out a shuffle by columns that a join below is dealt by, and may split that one
+        return some.repartition(F.xxhash64("g", "h")).sortWithinPartitions("g", "h").mapInArrow(frugal(_induced(match)), SPAN)
 
     if hot.isEmpty():
         return spans.unionAll(sort(contexts(examples)))
@@ -326,15 +342,16 @@ def remove_repeats(df: DataFrame, key: str, text: str, match: int = MATCH, kept:
     """Adds ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (bytes) to each row of ``df``; ``text`` goes.
 
     Null texts are empty.  Windows are judged on the input; all places of a repeated window go, in the same
-    row too.  Texts below ``match`` bytes stay whole.  Rows of equal key and text are repeats of one
-    another.  An empty table gives no rows; other columns pass through.  ``as_text``: ``kept`` is a string, without the
-    parts of characters that a cut leaves."""
-    rid = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
-    rows = df.select(rid.alias("rid"), F.col(f"`{text}`").alias("text"))
-    spans = repeated_spans(rows, match).groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    rest = [c for c in df.columns if c != text]
-    schema = df.select(*[f"`{c}`" for c in rest]).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add(kept, "string" if as_text else "binary")
-    k = len(rest)
+    row too.  Texts below ``match`` bytes stay whole.  Rows of equal text, whatever their keys (``key`` is not read), are repeats of one
+    another.  Texts of any length are read in pieces.  An empty table gives no rows; other columns pass through, but for those of the added
+    names, which are replaced.  ``as_text``: ``kept`` is a string, without the parts of characters that a cut leaves."""
+    rest = passing(df, (text, "n_bytes", "n_removed", "n_spans", kept))
+    body = F.col(f"`{text}`")
+    df = df.select(packed(rest), body.alias("text"), F.unhex(F.md5(F.coalesce(body, F.lit("")).cast("binary"))).alias("rid"))
+    spans = repeated_spans(df, match, gram_of(match)).distinct().groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    joined = df.join(spans, "rid", "left").select("row", "text", "spans")
+    schema = joined.select("row").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "string" if as_text else "binary")
+    k = 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -351,8 +368,7 @@ def remove_repeats(df: DataFrame, key: str, text: str, match: int = MATCH, kept:
     def last(made: list[bytes]) -> pa.Array:
         return pa.array([m.decode("utf-8", "ignore") for m in made], pa.string()) if as_text else pa.array(made, pa.binary())
 
-    joined = df.withColumn("__rid", rid).join(spans, F.col("__rid") == F.col("rid"), "left")
-    return joined.select(*[f"`{c}`" for c in rest], f"`{text}`", "spans").mapInArrow(frugal(run), schema)
+    return unpacked(joined.mapInArrow(frugal(run), schema), rest, "n_bytes", "n_removed", "n_spans", F.col("kept").alias(kept))
 
 
 def cut(data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[int, int, int, bytes]:
