@@ -9,10 +9,12 @@ probability of acos(2s / (1 + s)) / pi, 0.15 at 0.8.  The Gray-order index of ``
    a node with a probability of ``RECALL`` at every size.
 2. *Within a node* entries stand in Gray order of other bits (the sketch), groups are factored into masks and patterns, and pairs of groups
    are pruned whole by accumulated differences, as in ``simhash.linked_pairs``.
-3. *Groups* of more than ``FEW`` candidates in a node are not paired: they become stars, and what a star's checks leave
-   in several parts is joined by stars again, from each row to the closest one of the largest part; at last
-   pairs between the parts that remain are compared, where the whole fingerprints are close enough.
+3. *Candidates* are pairs of a node whose whole fingerprints are close enough.  Groups of more than ``FEW`` in a node are not paired: each row
+   of theirs goes with the one of the least name that is close.
 4. Candidates are compared by whole sets of shingles: only pairs of similarity 0.8 or more are links.
+5. *Crowds*, which are what candidates connect, if of more than ``FEW`` entries, may be left in several parts by that.  Each row outside of the
+   largest part is compared with its closest one there, and at last with all close ones of other parts.  An
+   entry is in one crowd, so rows stay in proportion to the entries.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ WORDS, SKETCH = 16, 2
 #: Probability that a pair of the least similarity shares a node; entries that a node has by chance, as a power of 2; bits of a node at least.
 RECALL, CROWD, LEAST_BITS = 0.99, 8, 16
 #: Candidates of a node that are paired at most; entries of a node that are compared at once; rounds of stars.
-FEW, BLOCK, ROUNDS = 8, 1024, 3
+FEW, BLOCK, ROUNDS = 8, 1024, 1
 #: Standard deviations that the differing bits of candidates may be above the mean of the least similarity.
 SPREAD = 3.2
 #: Pairs of entries that nodes processed together have at most, unless one node has more.
@@ -163,19 +165,17 @@ def _crowded(fp: np.ndarray, sketch: np.ndarray, most: int) -> tuple[np.ndarray,
 
 
 def _candidates(similarity: float):
-    """Rows ``x``, ``y``, ``crowd``: pairs of candidates, and, if ``crowd`` is not null, a member ``y`` of a group of more than ``FEW``."""
+    """Rows ``x``, ``y``: pairs that are close by their sketches."""
     half, most = most_bits(similarity, 1), most_bits(similarity, SKETCH)
 
     def flush(node: np.ndarray, fp: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
         edge = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True])
         sizes = np.diff(edge)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # x, y, crowd (0: a pair)
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
         for k in np.flatnonzero(sizes > BLOCK):
             part = slice(edge[k], edge[k + 1])
             i, j = _crowded(fp[part], sketch[part], most)
-            out.append((fp[part][i], fp[part][j], np.zeros(len(i), np.int64)))
-            inside = np.unique(np.r_[i, j])
-            out.append((np.zeros(len(inside), np.int64), fp[part][inside], np.full(len(inside), node[part][0] | 1 << 62)))
+            out.append((fp[part][i], fp[part][j]))
         small = np.repeat((sizes > 1) & (sizes <= BLOCK), sizes)
         node, fp, sketch = node[small], fp[small], sketch[small]
         if len(node):
@@ -187,7 +187,7 @@ def _candidates(similarity: float):
             root = forest(i, j, np.arange(len(node)))
             many = np.bincount(root, minlength=len(node))[root] > FEW
             pair = ~many[i]
-            out.append((fp[i[pair]], fp[j[pair]], np.zeros(pair.sum(), np.int64)))
+            out.append((fp[i[pair]], fp[j[pair]]))
             if many.any():
                 # in groups, each row's candidate of the least name
                 a, b = np.r_[i[~pair], j[~pair]], np.r_[j[~pair], i[~pair]]
@@ -195,14 +195,9 @@ def _candidates(similarity: float):
                 a, b = a[by], b[by]
                 first = np.r_[True, b[1:] != b[:-1]]
                 a, b = a[first], b[first]
-                out.append((fp[a], fp[b], np.zeros(len(a), np.int64)))
-                inside = np.flatnonzero(many)
-                crowd = np.array([xxhash.xxh64_intdigest(x.tobytes()) >> 2 | 1 for x in np.stack([node[inside], fp[root[inside]]], axis=1)], np.int64)
-                out.append((np.zeros(len(inside), np.int64), fp[inside], crowd))
-        x, y, c = (np.concatenate(v) if out else np.zeros(0, np.int64) for v in (zip(*out, strict=True) if out else ((), (), ())))
-        pair = c == 0
-        x, y = np.where(pair, np.minimum(x, y), x), np.where(pair, np.maximum(x, y), y)
-        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(c, mask=pair)], ["x", "y", "crowd"])
+                out.append((fp[a], fp[b]))
+        x, y = (np.concatenate(v) for v in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -227,6 +222,19 @@ def _candidates(similarity: float):
     return run
 
 
+def _close(pairs: DataFrame, entries: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs whose whole fingerprints are close."""
+    most = most_bits(similarity, WORDS + SKETCH)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            away = np.bitwise_count(_codes(b.column(2)) ^ _codes(b.column(3))).sum(axis=1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["x", "y"]).filter(pa.array(away <= most))
+
+    one, two = (entries.select(F.col("fp").alias(n), F.col("code").alias(f"{n}_code")) for n in ("x", "y"))
+    return pairs.join(one, "x").join(two, "y").select("x", "y", "x_code", "y_code").mapInArrow(frugal(run), "x long, y long")
+
+
 def _between(similarity: float, last: bool):
     """Of groups (crowd, g, fp, code), sorted by crowd: pairs of close members of different parts ``g``.
 
@@ -306,28 +314,29 @@ def near_copies(df: DataFrame, key: str, text: str, similarity: float = SIMILARI
     entries = materialize(marked.where("key IS NOT NULL AND code IS NOT NULL").groupBy("fp", "code").agg(F.min("key").alias("key")), "entries")
     bits, count = node_shape(entries.count(), similarity)
     placed = _placed(entries, bits, count).repartition("node").sortWithinPartitions("node")
-    found = materialize(placed.mapInArrow(frugal(_candidates(similarity)), "x long, y long, crowd long"), "candidates")
-    pairs = materialize(found.where("crowd IS NULL").select("x", "y").distinct(), "pairs")
-    wanted = pairs.select(F.col("x").alias("fp")).unionAll(pairs.select("y")).unionAll(found.where("crowd IS NOT NULL").select("y")).distinct()
+    found = materialize(placed.mapInArrow(frugal(_candidates(similarity)), "x long, y long").distinct(), "candidates")
+    pairs = materialize(_close(found, entries, similarity), "pairs")
+    wanted = materialize(pairs.select(F.col("x").alias("fp")).unionAll(pairs.select("y")).distinct(), "wanted")
     source = entries.join(wanted, "fp").select(F.col("key").alias("__key")).distinct()
     # a merge join at every size: texts
     texts = df.select(F.col(f"`{key}`").alias("__own"), F.col(f"`{text}`").alias("__text")).join(source.hint("merge"), F.col("__own") == F.col("__key")).select("__text")
     sets = materialize(_sets(texts, shingle).dropDuplicates(["fp"]), "sets")
     links = materialize(_alike(pairs, sets, similarity), "alike")
-    crowds = materialize(found.where("crowd IS NOT NULL").select("crowd", F.col("y").alias("fp")).join(entries.select("fp", "code"), "fp"), "crowds")
-    tried = pairs
+    within = components(pairs, "x", "y")
+    placed = wanted.join(within, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("crowd"))
+    large = placed.groupBy("crowd").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("crowd")
+    crowds = materialize(placed.join(large, "crowd").join(entries.select("fp", "code"), "fp").select("crowd", "fp", "code"), "crowds")
     for round_ in range(0 if crowds.isEmpty() else ROUNDS + 1):
-        last = round_ == ROUNDS
         group = components(links, "x", "y")
         parts = crowds.join(group, F.col("fp") == F.col("node"), "left").select("crowd", F.coalesce("component", "fp").alias("g"), "fp", "code")
-        open_ = parts.groupBy("crowd").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select("crowd")
-        parts = parts.join(open_, "crowd").repartition(F.xxhash64("crowd")).sortWithinPartitions("crowd")
-        more = parts.mapInArrow(frugal(_between(similarity, last)), "x long, y long").distinct().join(tried, ["x", "y"], "left_anti")
-        more = materialize(more, "pairs")
-        if more.isEmpty() and not last:
-            continue
-        tried = tried.unionAll(more)
-        links = materialize(links.unionAll(_alike(more, sets, similarity)), "alike")
+        several = parts.groupBy("crowd").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select("crowd")
+        parts = materialize(parts.join(several, "crowd"), "parts")
+        if parts.isEmpty():
+            break
+        # by a hash, as Spark leaves out a shuffle by a column that a join below is dealt by
+        dealt = parts.repartition(F.xxhash64("crowd")).sortWithinPartitions("crowd")
+        more = dealt.mapInArrow(frugal(_between(similarity, round_ == ROUNDS)), "x long, y long").distinct().join(pairs, ["x", "y"], "left_anti")
+        links = materialize(links.unionAll(_alike(materialize(more, "pairs"), sets, similarity)).distinct(), "alike")
 
     def link(reps: DataFrame) -> DataFrame:
         a, b = (reps.select(F.col("fp").alias(n), F.col("rep").alias(m)) for n, m in (("x", "a"), ("y", "b")))
