@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import packed, passing, unpacked
+
 TURNS = "array<struct<role:string,text:string>>"
 OPEN, CLOSE = "<turn ", "</turn>\n"
 #: What stands for each control character, undone in reverse order.
@@ -181,18 +183,42 @@ def format_records(df: DataFrame, mappings: Sequence[Mapping] = MAPPINGS, traine
     return df.withColumn("formatted", _joined(found.turns(record), trained))
 
 
+def json_paths(text: Column) -> Column:
+    """Paths of the leaves of a JSON text, sorted, such as ``messages[].role``: of its fields, of theirs, and of the items of lists, to a depth of four."""
+    value = F.try_parse_json(text)
+    shape = F.schema_of_variant(value)
+    # the printed schema, cut at its brackets, colons and commas: a stack of prefixes follows it
+    tokens = F.regexp_extract_all(shape, F.lit(r"(OBJECT<|ARRAY<|>|[^\s<>,:]+: |[^\s<>,:]+)"), 1)
+    first = F.struct(F.array(F.lit("")).alias("stack"), F.lit("").alias("name"), F.array().cast("array<string>").alias("found"))
+    top = lambda s: F.element_at(s["stack"], -1)
+    as_state = lambda stack, name, found: F.struct(stack.alias("stack"), name.alias("name"), found.alias("found"))
+    here = lambda s: F.concat(top(s), s["name"])
+
+    def step(s: Column, t: Column) -> Column:
+        opened = lambda suffix: as_state(F.concat(s["stack"], F.array(F.concat(here(s), F.lit(suffix)))), F.lit(""), s["found"])
+        inside = F.when(here(s) == "", F.lit("")).otherwise(F.concat(here(s), F.lit(".")))
+        return (
+            F.when(t == "OBJECT<", as_state(F.concat(s["stack"], F.array(inside)), F.lit(""), s["found"]))
+            .when(t == "ARRAY<", opened("[]"))
+            .when(t == ">", as_state(F.slice(s["stack"], 1, F.greatest(F.size(s["stack"]) - 1, F.lit(1))), F.lit(""), s["found"]))
+            .when(t.endswith(": "), as_state(s["stack"], F.regexp_replace(t, "^`|`?: $", ""), s["found"]))
+            .otherwise(as_state(s["stack"], F.lit(""), F.concat(s["found"], F.array(here(s)))))
+        )
+
+    return F.array_sort(F.array_distinct(F.filter(F.aggregate(tokens, first, step, lambda s: s["found"]), lambda p: p != "")))
+
+
 def format_json(df: DataFrame, column: str, mappings: Sequence[Mapping] = MAPPINGS, trained: Sequence[str] = TRAINED) -> DataFrame:
     """Adds ``layout`` and ``formatted`` for JSON records of mixed layouts.
 
     Each record's nested field paths are read from its own schema, and their hash selects the mapping, or else
     the one of most paths that the record has all of.  An empty list of turns gives an empty text.  Other layouts, and texts that are no JSON, get a null ``formatted``."""
-    shape = F.schema_of_variant(F.try_parse_json(F.col(column)))
-    own = F.array_sort(F.array_distinct(F.regexp_extract_all(F.regexp_replace(shape, r"\b(?:STRING|BIGINT|DOUBLE|BOOLEAN|VOID|VARIANT|DECIMAL\(\d+,\d+\))\b", "_"), F.lit(r"([^\s<>,:]+)(?=: )"), 1)))
+    own = json_paths(F.col(column))
     layout = F.crc32(F.array_join(own, "\n"))
     exact = within = F.lit(None).cast("string")
     # the last condition that holds decides: the largest mapping, of equal ones the first
     for m in sorted(reversed([m for m in mappings if not isinstance(m, Rows)]), key=lambda m: len(m.paths())):
-        names = sorted({n for p in m.paths() for n in p.replace("[]", "").split(".")})
+        names = sorted(m.paths())
         schema = f"{m.items} array<struct<`{m.role}`:string,`{m.text}`:string>>" if isinstance(m, Messages) else ", ".join(f"`{f}` string" for f in m.paths())
         key = zlib.crc32("\n".join(names).encode())
         made = _joined(m.turns(F.from_json(F.col(column), schema)), trained)
@@ -227,13 +253,13 @@ def read_turns(formatted: Column) -> Column:
 def loss_spans(df: DataFrame, formatted: str = "formatted") -> DataFrame:
     """A row for each trained turn: the columns of ``df`` but ``formatted``, with ``start`` and ``length`` in code points of it.
 
-    For trainers that take offsets; the flags in the format carry the same mask."""
-    pieces = F.posexplode(F.split(F.col(formatted), CLOSE, -1)).alias("__i", "__piece")
-    keep = [c for c in df.columns if c != formatted]
-    from pyspark.sql import Window as W
-
-    rows = df.withColumn("__conv", F.xxhash64(formatted)).select(*keep, "__conv", pieces)
-    before = W.partitionBy(*keep, "__conv").orderBy("__i").rowsBetween(W.unboundedPreceding, -1)
-    at = F.coalesce(F.sum(F.length("__piece") + len(CLOSE)).over(before), F.lit(0))
-    head = F.length(F.substring_index("__piece", ">", 1)) + 1
-    return rows.withColumn("__at", at).where(F.substring("__piece", len(OPEN) + 1, 1) == "+").select(*keep, (F.col("__at") + head).alias("start"), (F.length("__piece") - head).alias("length"))
+    For trainers that take offsets; the flags in the format carry the same mask.  Offsets are summed within the row, so equal rows
+    give equal spans.  Columns named ``start`` and ``length`` are replaced.  Null: no rows."""
+    keep = passing(df, (formatted, "start", "length"))
+    pieces = F.split(F.col(f"`{formatted}`"), CLOSE, -1)
+    head = lambda p: F.length(F.substring_index(p, ">", 1)) + 1
+    none = F.array().cast("array<struct<start:int,length:int,trained:boolean>>")
+    place = lambda s, p: F.struct((s["at"] + head(p)).alias("start"), (F.length(p) - head(p)).alias("length"), (F.substring(p, len(OPEN) + 1, 1) == "+").alias("trained"))
+    step = lambda s, p: F.struct((s["at"] + F.length(p) + len(CLOSE)).alias("at"), F.concat(s["out"], F.array(place(s, p))).alias("out"))
+    found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: F.filter(s["out"], lambda x: x["trained"]))
+    return unpacked(df.select(packed(keep), F.explode(found).alias("span")), keep, F.col("span.start").alias("start"), F.col("span.length").alias("length"))

@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrow import frugal
+from .columns import packed, passing, unpacked
 
 #: n-grams of 1 to LENGTH letters, within words that a space pads on both sides.
 LENGTH, PROFILE = 3, 300
@@ -110,7 +111,8 @@ def held_out(key: Column, part: int = 2, of: int = 4) -> Column:
 def fit(df: DataFrame, key: str, text: str, lang: str, sample: int = SAMPLE, size: int = PROFILE, length: int = LENGTH) -> Profiles:
     """Learns profiles from rows of ``df`` with a text and a label, about ``sample`` a language, chosen by the hash of the key.
 
-    Only languages' profiles come to the driver: their number times ``size`` n-grams."""
+    Only languages' profiles come to the driver: their number times ``size`` n-grams.  More than ``MOST_LANGUAGES`` labels are a ValueError.
+    Of n-grams that are equally frequent the first by code point come first; rows without a text or label teach nothing; no rows, no profiles."""
     rows = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
     counts = rows.groupBy("l").count().limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
@@ -148,20 +150,21 @@ def fit(df: DataFrame, key: str, text: str, lang: str, sample: int = SAMPLE, siz
 def identify(df: DataFrame, text: str, profiles: Profiles, lang: str = "lang_pred", score: str = "score", keep: bool = False, distinct: str | None = None) -> DataFrame:
     """Replaces ``text``, or follows it if it is to ``keep``, by its predicted language and score (0 to 1).  No shuffle.
 
-    ``und`` and 0 where the text is null or has no letter, or nothing was learned.  The whole text counts.
-    ``distinct``: a column for the number of distinct n-grams."""
-    rest = [c for c in df.columns if c != text]
-    out = [*rest, text] if keep else rest
+    ``und`` and 0 where the text is null or has no letter, or nothing was learned.  The whole text counts, however long.
+    Languages that are equally far: the first by name.  Repeated rows get equal results.  An empty table gives no rows.
+    Other columns pass; those of the added names are replaced.  ``distinct``: a column for the number of distinct n-grams."""
+    rest = passing(df, (text, lang, score, distinct))
     names, size, length = profiles.profiles, profiles.size, profiles.length
+    out = ["row", *(["text"] if keep else []), "lang", "score", "distinct"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(names, size, length)
         for b in batches:
-            made = [model.measure(t.as_py()) for t in b.column(len(rest))]
+            made = [model.measure(t.as_py()) for t in b.column(1)]
             found = [pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64()), pa.array([m[2] for m in made], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(out)], *found[: 3 if distinct else 2]], schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[: 2 if keep else 1], *found], out)
 
-    schema = df.select(*[f"`{c}`" for c in out]).schema.add(lang, "string").add(score, "double")
-    if distinct:
-        schema = schema.add(distinct, "long")
-    return df.select(*[f"`{c}`" for c in rest], f"`{text}`").mapInArrow(frugal(run), schema)
+    rows = df.select(packed(rest), F.col(f"`{text}`").alias("text"))
+    schema = rows.select(*out[:-3]).schema.add("lang", "string").add("score", "double").add("distinct", "long")
+    added = [*([F.col("text").alias(text)] if keep else []), F.col("lang").alias(lang), F.col("score").alias(score), *([F.col("distinct").alias(distinct)] if distinct else [])]
+    return unpacked(rows.mapInArrow(frugal(run), schema), rest, *added)

@@ -15,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .arrow import frugal
+from .columns import packed, passing, unpacked
 
 #: Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -37,13 +39,23 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
+def filtered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The filter of each row (none, to the left, or to the row above) with the least sum of signed sizes, the first of equal ones, and the filtered rows."""
+    left, up = rows.copy(), rows.copy()
+    left[:, 3:] -= rows[:, :-3]
+    up[1:] -= rows[:-1]
+    made = np.stack([rows, left, up])
+    kinds = np.minimum(made, -made).sum(axis=2, dtype=np.int64).argmin(axis=0)
+    return kinds.astype(np.uint8), made[kinds, np.arange(len(rows))]
+
+
 def encode_png(payload: bytes, width: int = WIDTH, level: int = LEVEL) -> bytes:
-    """Rows are unfiltered, the best choice for text.  The same payload always gives the same file."""
+    """Each row with the filter that suits it.  The same payload always gives the same file."""
     line = width * 3
     if not payload or len(payload) % line:
         raise ValueError(f"a payload has a positive multiple of {line} bytes")
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, line)
-    stream = zlib.compress(np.pad(rows, ((0, 0), (1, 0))).tobytes(), level)
+    kinds, rows = filtered(np.frombuffer(payload, np.uint8).reshape(-1, line))
+    stream = zlib.compress(np.column_stack([kinds, rows]).tobytes(), level)
     head = struct.pack(">IIBBBBB", width, len(rows), 8, RGB, 0, 0, 0)
     parts = [_chunk(b"IDAT", stream[i : i + IDAT_BYTES]) for i in range(0, len(stream), IDAT_BYTES)]
     return b"".join([SIGNATURE, _chunk(b"IHDR", head), *parts, _chunk(b"IEND", b"")])
@@ -99,7 +111,11 @@ def decode_png(data: bytes) -> np.ndarray:
         if struct.unpack_from(">I", data, at + 8 + n)[0] != zlib.crc32(kind + body):
             raise ValueError(f"checksum of {kind!r}")
         if kind == b"IHDR":
+            if head is not None or at != 8 or n != 13:
+                raise ValueError("IHDR is not the first chunk, or has not 13 bytes")
             head = struct.unpack(">IIBBBBB", body)
+        elif head is None:
+            raise ValueError("IHDR is not the first chunk, or has not 13 bytes")
         elif kind == b"IDAT":
             stream.append(body)
         elif kind == b"IEND":
@@ -109,15 +125,17 @@ def decode_png(data: bytes) -> np.ndarray:
         at += 12 + n
     if head is None or not ended:
         raise ValueError("IHDR or IEND is missing")
-    width, height, depth, colour, _, _, interlace = head
-    if depth != 8 or colour not in CHANNELS or interlace:
+    width, height, depth, colour, packing, filters, interlace = head
+    if depth != 8 or colour not in CHANNELS or packing or filters or interlace or not width or not height:
         raise ValueError("only 8-bit images without palette or interlace")
+    bpp = CHANNELS[colour]
+    size = height * (1 + width * bpp)
     try:
-        raw = zlib.decompress(b"".join(stream))
-    except zlib.error as e:
+        unpacker = zlib.decompressobj()
+        raw = unpacker.decompress(b"".join(stream), size + 1)  # no more is made than the image has
+    except (zlib.error, OverflowError) as e:
         raise ValueError(f"zlib stream: {e}") from e
-    bpp = CHANNELS[colour]
-    if len(raw) != height * (1 + width * bpp):
+    if len(raw) != size or not unpacker.eof:
         raise ValueError("size of the samples")
     rows = np.frombuffer(raw, np.uint8).reshape(height, -1)
     return unfilter(rows[:, 0], rows[:, 1:], bpp).reshape(height, width, bpp)
@@ -150,10 +168,12 @@ def with_media(df: DataFrame, text: str, media: str = "media", payload: str = "p
     """Replaces ``text`` (null: empty) by a PNG of its padded UTF-8 bytes, the payload read back from that file, and its hash.
 
     ``text`` may be a string or binary column.  Rows are done one by one, so memory follows the largest
-    text; a file that is read back wrong raises ValueError.  No shuffle."""
-    rest = [c for c in df.columns if c != text]
-    schema = df.select(*[f"`{c}`" for c in rest]).schema.add(media, "binary").add(payload, "binary").add(feature, "binary")
-    index = len(rest)
+    text; a file that is read back wrong raises ValueError.  Equal texts get equal values.  Other columns pass; those of the
+    added names are replaced.  An empty table gives no rows.  No shuffle."""
+    rest = passing(df, (text, media, payload, feature))
+    rows = df.select(packed(rest), F.col(f"`{text}`").alias("text"))
+    schema = rows.select("row").schema.add("media", "binary").add("payload", "binary").add("feature", "binary")
+    index = 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +189,7 @@ def with_media(df: DataFrame, text: str, media: str = "media", payload: str = "p
                     marks.append(cosine_hash(image))
                 columns = [c.slice(at, end - at) for c in batch.columns[:index]]
                 step = [*columns, pa.array(files, pa.binary()), pa.array(loads, pa.binary()), pa.array(marks, pa.binary())]
-                yield pa.RecordBatch.from_arrays(step, [*rest, media, payload, feature])
+                yield pa.RecordBatch.from_arrays(step, schema.names)
                 at = end
 
-    return df.select(*[f"`{c}`" for c in rest], f"`{text}`").mapInArrow(frugal(run), schema)
+    return unpacked(rows.mapInArrow(frugal(run), schema), rest, F.col("media").alias(media), F.col("payload").alias(payload), F.col("feature").alias(feature))

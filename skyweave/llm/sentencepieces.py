@@ -26,9 +26,11 @@ from functools import cached_property, lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import frugal
+from .columns import packed, passing, unpacked
 
 #: Fixed values of the model format: piece types, model types, the mark of white space, the text of an unknown piece.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
@@ -262,35 +264,36 @@ def compiled(model: bytes) -> Transducer:
 def encode(df: DataFrame, text: str, model: Transducer, ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """Replaces ``text`` by the array of its ids; null and empty texts have none.  No shuffle.
 
-    ``decoded``: a further column, with the text that the ids decode to."""
-    rest, data = [c for c in df.columns if c != text], model.model
+    Whole texts of any length; equal texts get equal ids.  Other columns pass; those of the added names are replaced.
+    An empty table gives no rows.  ``decoded``: a further column, with the text that the ids decode to."""
+    rest, data = passing(df, (text, ids, decoded)), model.model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = compiled(data)
         for b in batches:
-            made = [own.encode(t.as_py()) for t in b.column(len(rest))]
+            made = [own.encode(t.as_py()) for t in b.column(1)]
             offsets = np.cumsum([0, *[len(m) for m in made]])
             values = np.concatenate([*made, np.zeros(0, np.int32)])
-            columns = [*b.columns[: len(rest)], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))]
+            columns = [b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array([own.decode(m) for m in made], pa.string())] if decoded else []), schema.names)
 
-    columns = [f"`{c}`" for c in rest]
-    schema = df.select(*columns).schema.add(ids, T.ArrayType(T.IntegerType()))
-    schema = schema.add(decoded, "string") if decoded else schema
-    return df.select(*columns, f"`{text}`").mapInArrow(frugal(run), schema)
+    rows = df.select(packed(rest), F.col(f"`{text}`").alias("text"))
+    schema = rows.select("row").schema.add("ids", T.ArrayType(T.IntegerType()))
+    schema = schema.add("decoded", "string") if decoded else schema
+    return unpacked(rows.mapInArrow(frugal(run), schema), rest, F.col("ids").alias(ids), *([F.col("decoded").alias(decoded)] if decoded else []))
 
 
 def decode(df: DataFrame, ids: str, model: Transducer, text: str = "text") -> DataFrame:
-    """Adds ``text``, decoded from the array of ids; null ids: an empty text.  No shuffle."""
-    rest, data = [c for c in df.columns if c != text], model.model
+    """Adds ``text``, decoded from the array of ids; null ids: an empty text.  No shuffle.
+
+    Other columns pass; one named ``text`` is replaced.  An empty table gives no rows."""
+    rest, data = passing(df, (text,)), model.model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = compiled(data)
-        at = rest.index(ids)
         for b in batches:
-            column = b.column(at)
-            made = [own.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else "" for x in column]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], [*rest, text])
+            made = [own.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else "" for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string())], ["row", "text"])
 
-    columns = [f"`{c}`" for c in rest]
-    return df.select(*columns).mapInArrow(frugal(run), df.select(*columns).schema.add(text, "string"))
+    rows = df.select(packed(rest), F.col(f"`{ids}`").alias("ids"))
+    return unpacked(rows.mapInArrow(frugal(run), rows.select("row").schema.add("text", "string")), rest, F.col("text").alias(text))

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import packed, passing, unpacked
 from .store import materialize
 
 #: Ranges of the key's hash within a shard that slots are counted over; fixes the size of the table of offsets.
@@ -35,27 +36,27 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
 
 
 def assign(df: DataFrame, key: str, weights: Sequence[float], shard: str = "shard") -> DataFrame:
-    """Adds the shard of each row.  No shuffle; copies of a key share a shard."""
-    return df.withColumn(shard, rendezvous(F.col(key), weights))
+    """Adds the shard of each row; a column of that name is replaced.  No shuffle; copies of a key share a shard.
+
+    An empty table gives no rows."""
+    return df.withColumn(shard, rendezvous(F.col(f"`{key}`"), weights))
 
 
 def with_slots(df: DataFrame, key: str, ties: Sequence[str], n_shards: int, shard: str = "shard", slot: str = "slot") -> DataFrame:
-    """Adds gapless positions from 0 within each shard, ordered by range of the key's hash, key and ``ties``.
+    """Adds gapless positions from 0 within each shard, ordered by range of the key's hash, key and ``ties``; a column ``slot`` is replaced.
 
     Rows are counted over ``SLOT_RANGES`` hash ranges a shard, whose offsets (``n_shards *
     SLOT_RANGES`` rows at most, hence broadcast) are added to positions within a range, so that no task
-    holds a shard.  Rows equal in all these columns take their places in any order."""
-    part = "__slot_range"
-    rows = df.withColumn(part, F.pmod(F.xxhash64(F.col(key), F.lit("slot")), F.lit(SLOT_RANGES)).cast("int"))
+    holds a shard.  A null key comes first in its range.  Rows equal in all these columns take their places in any order.
+    An empty table gives no rows."""
     from pyspark.sql import Window as W
 
-    counts = materialize(rows.groupBy(shard, part).agg(F.count("*").alias("__n")), "slots")
-    before = W.partitionBy(shard).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(shard, part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    own = W.partitionBy(shard, part).orderBy(F.col(key).asc_nulls_first(), *ties)
-    return (
-        rows.withColumn("__at", F.row_number().over(own))
-        .join(F.broadcast(offsets), [shard, part])
-        .withColumn(slot, (F.col("__before") + F.col("__at") - 1).cast("long"))
-        .drop(part, "__at", "__before")
-    )
+    rest = passing(df, (slot,))
+    part = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit("slot")), F.lit(SLOT_RANGES)).cast("int")
+    rows = df.select(packed(rest), F.col(f"`{shard}`").alias("shard"), part.alias("part"))
+    counts = materialize(rows.groupBy("shard", "part").agg(F.count("*").alias("n")), "slots")
+    before = W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = W.partitionBy("shard", "part").orderBy(F.col("row").getField(key).asc_nulls_first(), *[F.col("row").getField(t) for t in ties])
+    placed = rows.withColumn("at", F.row_number().over(own)).join(F.broadcast(offsets), ["shard", "part"])
+    return unpacked(placed, rest, (F.col("before") + F.col("at") - 1).cast("long").alias(slot))
