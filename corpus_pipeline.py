@@ -17,7 +17,7 @@ from skyweave.llm.store import write
 LEAST_SCORE = 0.1
 #: Scores fall with the distinct n-grams of a text, so the bound does: n-grams, least score, between them in proportion.
 #: Calibrated on windows of the labelled documents of sf0.01 against other languages and random letters, see README.
-LEAST_SCORES = ((8, LEAST_SCORE), (16, 0.38), (40, 0.4), (70, 0.37), (90, 0.34), (115, 0.31), (145, 0.28), (180, 0.255), (225, 0.24), (275, 0.21), (375, 0.2), (450, 0.18), (550, 0.16), (700, 0.15), (1000, 0.21))
+LEAST_SCORES = ((8, LEAST_SCORE), (16, 0.3), (24, 0.34), (55, 0.34), (90, 0.315), (115, 0.3), (225, 0.3), (325, 0.27), (450, 0.24), (700, 0.2))
 #: What SQL can't express: profiles, fingerprints, suffixes, a random tree, a tokenizer.
 ORACLE_SQL = None
 

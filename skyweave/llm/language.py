@@ -96,9 +96,11 @@ class Profiles:
         if len(seen) > self.size:
             seen = seen[counts[seen] >= np.partition(counts[seen], -self.size)[-self.size]]
         own = counts[seen]
-        rank = np.minimum(np.searchsorted(-np.sort(-own), -own), self.size)  # equal counts share a rank
+        rank = np.minimum(np.searchsorted(np.sort(-own), -own), self.size)  # equal counts share a rank
         inside = seen < len(self.known)
-        far = np.abs(self.ranks[:, seen[inside]] - rank[inside]).sum(axis=1) + self.size * float((~inside).sum())
+        known = self.ranks[:, seen[inside]]
+        # what a profile lacks is as far as can be
+        far = np.where(known < self.size, np.abs(known - rank[inside]), self.size).sum(axis=1) + self.size * float((~inside).sum())
         best = int(far.argmin())
         return self.languages[best], float(1 - far[best] / (self.size * len(seen))), distinct
 
