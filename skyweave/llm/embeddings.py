@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrow import frugal
 from .components import components, forest
@@ -92,12 +93,10 @@ def _assign(centroids: np.ndarray, reach: float):
 
 
 def _compare(cosine: float, width: int, cells: int):
-    schema = {"rep": "int64", "links": "int64", "root": "int64"}
-
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Rows at home in a block against a block of the cell's members: links of each, and the least row that they lead to here."""
         if not len(left) or not len(right):
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in schema.items()})
+            return pd.DataFrame({"rep": left["rep"].iloc[:0], "links": pd.Series(dtype="int64"), "root": left["rep"].iloc[:0]})
         cell = key[0]
         a, b = (_unit(np.stack(list(f["embedding"])).astype(np.float64).reshape(len(f), width)) for f in (left, right))
         mine, other, home = left["rep"].to_numpy(), right["rep"].to_numpy(), right["home"].to_numpy()
@@ -108,13 +107,14 @@ def _compare(cosine: float, width: int, cells: int):
         # a visitor's pair counts here, unless the row at home here also visits the visitor's home and that is the smaller cell
         use = np.where(home[j] == cell, mine[i] != other[j], (cell < home[j]) | ~visits[i, home[j]])
         i, j = i[use], j[use]
-        names, at = np.unique(np.r_[mine, other], return_inverse=True)
+        names, at = np.unique(np.concatenate([mine, other]), return_inverse=True)
         x, y = at[: len(mine)][i], at[len(mine) :][j]
         links = np.bincount(x, right["n"].to_numpy()[j], len(names))
         far = home[j] != cell  # such a link is seen here only, so it is told to both ends
         links += np.bincount(y[far], left["n"].to_numpy()[i[far]], len(names))
         some = np.unique(np.r_[x, y])
-        return pd.DataFrame({"rep": names[some], "links": links[some], "root": forest(x, y, names)[some]}).astype(schema)
+        root = names[forest(x, y, np.arange(len(names)))]  # names are sorted, of whatever type
+        return pd.DataFrame({"rep": names[some], "links": links[some].astype(np.int64), "root": root[some]})
 
     return run
 
@@ -122,26 +122,46 @@ def _compare(cosine: float, width: int, cells: int):
 def near_duplicates(df: DataFrame, key: str, embedding: str, cosine: float = COSINE, cells: int | None = None) -> DataFrame:
     """``key``, ``n_links`` (other vectors linked directly), ``component_id`` and ``kept`` for each row of ``df``.
 
-    Links: a cosine of ``cosine`` or more, in double precision.  Vectors that are null, empty, zero, of another
-    width than most, or hold null or non-finite components link with nothing.  Equal vectors are compared once, with
+    Links: a cosine of ``cosine`` or more, in double precision, between vectors of one width; each width is compared by itself.
+    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing.  Equal vectors are compared once, with
     their number.  A row of a null key links with nothing and is kept.  Repeated keys are rows of their own in the counts and one
-    node of the components.  An empty table gives no rows."""
+    node of the components.  Keys are numbers or strings.  An empty table gives no rows; other columns are not read."""
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{embedding}`").alias("embedding"))
-    good = rows.where(F.col("key").isNotNull() & usable(F.col("embedding")))
-    widths = good.groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
-    alone = rows.select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"), F.lit(True).alias("kept")).withColumnRenamed("key", key)
-    if not widths:
-        return alone
-    width = widths[0][0]
-    fits = usable(F.col("embedding")) & (F.size("embedding") == width) & F.col("key").isNotNull()
+    fits = F.col("key").isNotNull() & usable(F.col("embedding"))
     # -0.0 and 0.0 are the same component
     marked = rows.withColumn("embedding", F.when(fits, F.transform(F.col("embedding"), lambda v: v.cast("double") + F.lit(0.0))))
+    width = F.when(fits, F.size("embedding"))
+    widths = sorted(w for (w,) in rows.select(width.alias("w")).distinct().collect() if w)  # vectors of one table have few widths
+    if len(widths) <= 1:
+        found = _of_width(marked, widths[0], cosine, cells) if widths else None
+    else:
+        marked = materialize(marked, "vectors")
+        found = None
+        for w in widths:
+            one = _of_width(marked.where(F.size("embedding") == w), w, cosine, cells)
+            found = one if found is None else found.unionAll(one)
+    if found is None:
+        out = rows.select("key", F.lit(0).cast("long").alias("l"), F.lit(None).cast(rows.schema["key"].dataType).alias("c"))
+    elif len(widths) > 1:  # a key that comes with several widths joins their components
+        edges = materialize(found, "found")
+        own = marked.where("embedding IS NOT NULL").join(edges, "embedding").select(F.col("key").alias("a"), F.col("c").alias("b"))
+        joined = components(own, "a", "b")
+        out = marked.join(edges, "embedding", "left").join(joined, F.col("key") == F.col("node"), "left").select("key", "l", F.coalesce("component", F.col("c")).alias("c"))
+    else:
+        out = marked.join(found, "embedding", "left")
+    component = F.coalesce("c", "key")
+    return out.select(F.col("key").alias(key), F.coalesce("l", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
+
+
+def _of_width(marked: DataFrame, width: int, cosine: float, cells: int | None) -> DataFrame:
+    """``embedding``, its component ``c`` and its links ``l``, for the vectors of ``marked`` that are not null, all of one width."""
     distinct = materialize(marked.where("embedding IS NOT NULL").groupBy("embedding").agg(F.min("key").alias("rep"), F.count("*").alias("n")), "vectors")
     count = distinct.count()
     centroids = fit_cells(distinct, count, cells)
     reach = math.sqrt(max(0.0, 2 - 2 * cosine)) / 2 + SLACK
     parts = max(1, min(4096, count // 256))
-    schema = "rep long, embedding array<double>, n long, home int, visits array<int>"
+    name = marked.schema["key"].dataType
+    schema = T.StructType().add("rep", name).add("embedding", T.ArrayType(T.DoubleType())).add("n", "long").add("home", T.IntegerType()).add("visits", T.ArrayType(T.IntegerType()))
     placed = materialize(distinct.select("rep", "embedding", "n").repartition(parts, "rep").mapInArrow(frugal(_assign(centroids, reach)), schema), "placed")
     seat = F.pmod(F.xxhash64("rep", F.lit("seat")), F.lit(1 << 30))
     homes = {r["home"]: r["n"] for r in placed.groupBy("home").agg(F.count("*").alias("n")).collect()}  # MOST_CELLS rows at most
@@ -152,13 +172,9 @@ def near_duplicates(df: DataFrame, key: str, embedding: str, cosine: float = COS
     right = placed.select("rep", "embedding", "n", "home", F.explode("visits").alias("cell"))
     right = right.withColumn("mb", F.pmod(seat, blocks(members)).cast("int")).withColumn("hb", F.explode(F.sequence(F.lit(0), blocks(homes) - 1)))
     keys = ["cell", "hb", "mb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_compare(cosine, width, len(centroids)), "rep long, links long, root long")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_compare(cosine, width, len(centroids)), T.StructType().add("rep", name).add("links", "long").add("root", name))
     linked = materialize(found, "links")
     totals = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")), "a", "b")
-    named = materialize(
-        distinct.join(totals, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").select("embedding", F.coalesce("component", "rep").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("l")), "named"
-    )
-    out = marked.join(named, "embedding", "left")
-    component = F.coalesce("c", "key")
-    return out.select(F.col("key").alias(key), F.coalesce("l", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
+    both = distinct.join(totals, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
+    return materialize(both.select("embedding", F.coalesce("component", "rep").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("l")), "named")

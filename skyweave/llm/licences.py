@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import frugal
+from .columns import packed, passing, unpacked
 
 UNKNOWN_FAMILY = "unknown"
 #: Customary notices and opening clauses of licence families.
@@ -72,8 +73,8 @@ NO_NOTICES = (
 
 SHINGLE, SIMILARITY, THRESHOLD = 5, 0.8, 0.5
 GRAMS, WINDOW = 3, 64
-#: Lines of the corpus that stand for unknown in training, at most, and characters of each; variants of a template; steps and weight decay of the fit.
-NEGATIVES, LINE, VARIANTS, STEPS, DECAY = 2000, 2000, 40, 300, 1e-4
+#: Lines of the corpus that stand for unknown in training, at most; variants of a template; steps and weight decay of the fit.
+NEGATIVES, VARIANTS, STEPS, DECAY = 2000, 40, 300, 1e-4
 #: What comments have before the text of a line.
 _MARKER = re.compile(r"^\s*(?:/\*+|\*+|//+|#+|;+|--+|%+|>+|<!--)+")
 _WORD = re.compile(r"[\w.+-]*\w[+]*")
@@ -162,10 +163,15 @@ class Classifier:
 
 
 def fit(df: DataFrame, key: str, text: str, templates: dict[str, tuple[str, ...]] = TEMPLATES, negatives: int = NEGATIVES, seed: int = 3) -> Classifier:
-    """Trains on variants of the templates, and for ``unknown`` on at most ``negatives`` lines of ``df``, chosen by hash, that resemble no template."""
+    """Trains on variants of the templates, and for ``unknown`` on at most ``negatives`` windows of lines of ``df``, chosen by hash, that resemble no template.
+
+    An empty table, or one of null texts: the lines of ``NO_NOTICES`` stand for unknown alone."""
     rows = max(1, df.count())
     share = F.shiftrightunsigned(F.xxhash64(f"`{key}`", F.lit("fit")), 11) / F.lit(float(2**53))
-    lines = df.where(share < min(1.0, negatives / rows)).select(F.explode(F.split(f"`{text}`", "\n")).alias("line")).select(F.substring("line", 1, LINE).alias("line"))
+    lines = df.where(share < min(1.0, negatives / rows)).select(F.explode(F.split(f"`{text}`", "\n")).alias("line")).select(F.split(F.trim("line"), r"\s+").alias("words"))
+    # long lines are cut into windows, as they are in scans
+    cuts = F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1)), F.lit(WINDOW))
+    lines = lines.select("words", F.explode(cuts).alias("at")).select(F.array_join(F.slice("words", F.col("at"), F.lit(WINDOW)), " ").alias("line"))
     lines = lines.orderBy(F.xxhash64("line"), "line").limit(negatives).collect()
     return train([r[0] for r in lines], templates, seed)
 
@@ -188,8 +194,9 @@ def train(lines: Sequence[str], templates: dict[str, tuple[str, ...]] = TEMPLATE
                 samples.append([*extra[:at], *w, *extra[at:]])
                 labels.append(k)
     for w in other:
-        samples.append(w[:WINDOW])
-        labels.append(0)
+        for k in range(0, len(w), WINDOW):  # words may be more than what white space separates
+            samples.append(w[k : k + WINDOW])
+            labels.append(0)
     # unknown also means the words of templates in any order
     common = sorted({w for x in templates.values() for t in x for w in words(t)})
     for _ in range(VARIANTS * 5):
@@ -232,15 +239,17 @@ FINDING = T.StructType().add("paragraph", "long").add("family", "string").add("p
 def scan(df: DataFrame, text: str, model: Classifier) -> DataFrame:
     """Replaces ``text`` by ``n_paragraphs`` and ``findings``, all predictions in order of paragraphs.  No shuffle.
 
-    Null and empty texts have no paragraphs; lines without words count for none.  Whole texts are read."""
-    rest = [c for c in df.columns if c != text]
-    columns = [f"`{c}`" for c in rest]
-    schema = df.select(*columns).schema.add("n_paragraphs", "long").add("findings", T.ArrayType(FINDING))
+    Null and empty texts have no paragraphs; lines without words count for none.  Whole texts are read, in windows, however long.  Of families that are
+    equally probable the first by name is predicted; equal texts get equal findings.  Other columns pass; those of the added names are replaced.
+    An empty table gives no rows."""
+    rest = passing(df, (text, "n_paragraphs", "findings"))
+    rows = df.select(packed(rest), F.col(f"`{text}`").alias("text"))
+    schema = rows.select("row").schema.add("n_paragraphs", "long").add("findings", T.ArrayType(FINDING))
     kind = pa.list_(pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64()), ("confirmed", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [model.scan(t.as_py() or "") for t in b.column(len(rest))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], kind)], schema.names)
+            made = [model.scan(t.as_py() or "") for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], kind)], schema.names)
 
-    return df.select(*columns, f"`{text}`").mapInArrow(frugal(run), schema)
+    return unpacked(rows.mapInArrow(frugal(run), schema), rest, "n_paragraphs", "findings")
