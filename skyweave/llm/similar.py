@@ -165,17 +165,17 @@ def _crowded(fp: np.ndarray, sketch: np.ndarray, most: int) -> tuple[np.ndarray,
 
 
 def _candidates(similarity: float):
-    """Rows ``x``, ``y``: pairs that are close by their sketches."""
+    """Rows ``x``, ``y``, ``star``: pairs that are close by their sketches, and whether they are part of a larger group's star."""
     half, most = most_bits(similarity, 1), most_bits(similarity, SKETCH)
 
     def flush(node: np.ndarray, fp: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
         edge = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True])
         sizes = np.diff(edge)
-        out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
+        out: list[tuple[np.ndarray, np.ndarray, bool]] = []
         for k in np.flatnonzero(sizes > BLOCK):
             part = slice(edge[k], edge[k + 1])
             i, j = _crowded(fp[part], sketch[part], most)
-            out.append((fp[part][i], fp[part][j]))
+            out.append((fp[part][i], fp[part][j], True))
         small = np.repeat((sizes > 1) & (sizes <= BLOCK), sizes)
         node, fp, sketch = node[small], fp[small], sketch[small]
         if len(node):
@@ -187,7 +187,7 @@ def _candidates(similarity: float):
             root = forest(i, j, np.arange(len(node)))
             many = np.bincount(root, minlength=len(node))[root] > FEW
             pair = ~many[i]
-            out.append((fp[i[pair]], fp[j[pair]]))
+            out.append((fp[i[pair]], fp[j[pair]], False))
             if many.any():
                 # in groups, each row's candidate of the least name
                 a, b = np.r_[i[~pair], j[~pair]], np.r_[j[~pair], i[~pair]]
@@ -195,9 +195,11 @@ def _candidates(similarity: float):
                 a, b = a[by], b[by]
                 first = np.r_[True, b[1:] != b[:-1]]
                 a, b = a[first], b[first]
-                out.append((fp[a], fp[b]))
-        x, y = (np.concatenate(v) for v in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
+                out.append((fp[a], fp[b], True))
+        none = np.zeros(0, np.int64)
+        x, y = (np.concatenate([none, *[o[k] for o in out]]) for k in (0, 1))
+        star = np.repeat([o[2] for o in out], [len(o[0]) for o in out]).astype(bool) if out else np.zeros(0, bool)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(star)], ["x", "y", "star"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -314,15 +316,19 @@ def near_copies(df: DataFrame, key: str, text: str, similarity: float = SIMILARI
     entries = materialize(marked.where("key IS NOT NULL AND code IS NOT NULL").groupBy("fp", "code").agg(F.min("key").alias("key")), "entries")
     bits, count = node_shape(entries.count(), similarity)
     placed = _placed(entries, bits, count).repartition("node").sortWithinPartitions("node")
-    found = materialize(placed.mapInArrow(frugal(_candidates(similarity)), "x long, y long").distinct(), "candidates")
-    pairs = materialize(_close(found, entries, similarity), "pairs")
-    wanted = materialize(pairs.select(F.col("x").alias("fp")).unionAll(pairs.select("y")).distinct(), "wanted")
+    made = placed.mapInArrow(frugal(_candidates(similarity)), "x long, y long, star boolean")
+    found = materialize(made.groupBy("x", "y").agg(F.min("star").alias("star")), "candidates")
+    # of the stars of many nodes two edges an entry are compared at first; crowds are what all edges connect, so none is lost
+    stars = found.where("star")
+    one, two = stars.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), stars.groupBy("x").agg(F.min("y").alias("y"))
+    pairs = materialize(_close(found.where("NOT star").select("x", "y").unionAll(one).unionAll(two).distinct(), entries, similarity), "pairs")
+    wanted = materialize(found.select(F.col("x").alias("fp")).unionAll(found.select("y")).distinct(), "wanted")
     source = entries.join(wanted, "fp").select(F.col("key").alias("__key")).distinct()
     # a merge join at every size: texts
     texts = df.select(F.col(f"`{key}`").alias("__own"), F.col(f"`{text}`").alias("__text")).join(source.hint("merge"), F.col("__own") == F.col("__key")).select("__text")
     sets = materialize(_sets(texts, shingle).dropDuplicates(["fp"]), "sets")
     links = materialize(_alike(pairs, sets, similarity), "alike")
-    within = components(pairs, "x", "y")
+    within = components(found, "x", "y")
     placed = wanted.join(within, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("crowd"))
     large = placed.groupBy("crowd").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("crowd")
     crowds = materialize(placed.join(large, "crowd").join(entries.select("fp", "code"), "fp").select("crowd", "fp", "code"), "crowds")
