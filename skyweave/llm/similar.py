@@ -13,14 +13,15 @@ probability of acos(2s / (1 + s)) / pi, 0.15 at 0.8.  The Gray-order index of ``
    of theirs goes with the one of the least name that is close.
 4. Candidates are compared by whole sets of shingles: only pairs of similarity 0.8 or more are links.
 5. *Crowds*, which are what candidates connect, if of more than ``FEW`` entries, may be left in several parts by that.  Each row outside of the
-   largest part is compared with its closest one there, and at last with all close ones of other parts.  An
-   entry is in one crowd, so rows stay in proportion to the entries.
+   largest part is compared with its closest one there, and at last with all close ones of other parts, in blocks
+   of rows against blocks of rows, so that no task holds a crowd.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ WORDS, SKETCH = 16, 2
 RECALL, CROWD, LEAST_BITS = 0.99, 8, 16
 #: Candidates of a node that are paired at most; entries of a node that are compared at once; rounds of stars.
 FEW, BLOCK, ROUNDS = 8, 1024, 1
+#: Rows of a node that one task takes, if leaders in so many rounds are close to the others.
+HOT, PEELS = 1 << 16, 16
 #: Standard deviations that the differing bits of candidates may be above the mean of the least similarity.
 SPREAD = 3.2
 #: Pairs of entries that nodes processed together have at most, unless one node has more.
@@ -224,6 +227,30 @@ def _candidates(similarity: float):
     return run
 
 
+def _peeled(placed: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """``placed`` without the rows that lead nodes of more than ``HOT`` rows, or are close to a leader, and stars of these (x, y, star).
+
+    The leader is the row of the least name, as in ``_crowded``; each round is a partial aggregate and a join that Spark can split, so a
+    task gets what is left of a node, which is more than ``HOT`` only if ``PEELS`` leaders are close to too few."""
+    hot = lambda rows: materialize(rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("node"), "hot")
+    large = hot(placed)
+    if large.isEmpty():
+        return placed, None
+    done, stars = [placed.join(large, "node", "left_anti").select(*placed.columns)], []
+    rows = materialize(placed.join(large, "node"), "large")
+    for _ in range(PEELS):
+        leaders = materialize(rows.join(large, "node").groupBy("node").agg(F.min(F.struct("fp", "s0", "s1")).alias("lead")), "leaders")
+        done.append(rows.join(large, "node", "left_anti").select(*placed.columns))
+        away = F.bit_count(F.col("s0").bitwiseXOR(F.col("lead.s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("lead.s1")))
+        led = materialize(rows.join(leaders, "node").withColumn("near", away <= most), "led")
+        stars.append(led.where("near AND fp != lead.fp").select(F.col("lead.fp").alias("x"), F.col("fp").alias("y"), F.lit(True).alias("star")))
+        rows = led.where("NOT near").select(*placed.columns)
+        large = hot(rows)
+        if large.isEmpty():
+            break
+    return reduce(DataFrame.unionAll, [*done, rows.select(*placed.columns)]), reduce(DataFrame.unionAll, stars)
+
+
 def _close(pairs: DataFrame, entries: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs whose whole fingerprints are close."""
     most = most_bits(similarity, WORDS + SKETCH)
@@ -238,53 +265,61 @@ def _close(pairs: DataFrame, entries: DataFrame, similarity: float) -> DataFrame
 
 
 def _between(similarity: float, last: bool):
-    """Of groups (crowd, g, fp, code), sorted by crowd: pairs of close members of different parts ``g``.
+    """Of blocks (crowd, rb, ob), sorted by those: ``mine``, rows outside of a crowd's largest part, against others: ``x``, ``y`` and their differing bits.
 
-    Each row with the closest one of the largest part; ``last``: with all."""
+    Each row with the closest one of the block; ``last``: with all that are close and of another part."""
     most = most_bits(similarity, WORDS + SKETCH)
 
-    def pairs(g: np.ndarray, fp: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        names, part, sizes = np.unique(g, return_inverse=True, return_counts=True)
-        main = part == sizes.argmax()
-        rest, home = np.flatnonzero(~main), np.flatnonzero(main)
-        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at in range(0, len(rest), 256):
-            mine = rest[at : at + 256]
-            closest, best = np.full(len(mine), most + 1), np.full(len(mine), -1)
-            others = np.arange(len(g)) if last else home
-            for to in range(0, len(others), BLOCK):
-                there = others[to : to + BLOCK]
-                away = np.zeros((len(mine), len(there)), np.int64)
-                for w in range(code.shape[1]):
-                    away += np.bitwise_count(code[mine, w][:, None] ^ code[there, w][None, :])
-                if last:
-                    i, j = np.nonzero((away <= most) & (part[mine][:, None] != part[there][None, :]))
-                    x.append(fp[mine[i]])
-                    y.append(fp[there[j]])
-                else:
-                    k = away.argmin(axis=1)
-                    d = away[np.arange(len(mine)), k]
-                    better = d < closest
-                    closest[better], best[better] = d[better], there[k[better]]
-            if not last:
-                found = best >= 0
-                x.append(fp[mine[found]])
-                y.append(fp[best[found]])
-        return np.concatenate(x), np.concatenate(y)
+    def pairs(g: np.ndarray, fp: np.ndarray, code: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rest, there = np.flatnonzero(mine), np.flatnonzero(~mine)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for at in range(0, len(rest) if len(there) else 0, 256):
+            here = rest[at : at + 256]
+            away = np.zeros((len(here), len(there)), np.int64)
+            for w in range(code.shape[1]):
+                away += np.bitwise_count(code[here, w][:, None] ^ code[there, w][None, :])
+            if last:
+                i, j = np.nonzero((away <= most) & (g[here][:, None] != g[there][None, :]))
+            else:
+                j = away.argmin(axis=1)
+                i = np.flatnonzero(away[np.arange(len(here)), j] <= most)
+                j = j[i]
+            found.append((fp[here[i]], fp[there[j]], away[i, j]))
+        return tuple(np.concatenate([np.zeros(0, np.int64), *[f[k] for f in found]]) for k in range(3))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ..operators.groups import whole_groups
 
-        for t, begin in whole_groups(batches, ["crowd"]):
-            g, fp, code = t["g"].to_numpy(), t["fp"].to_numpy(), _codes(t["code"])
+        for t, begin in whole_groups(batches, ["crowd", "rb", "ob"]):
+            g, fp, code, mine = t["g"].to_numpy(), t["fp"].to_numpy(), _codes(t["code"]), t["mine"].to_numpy(zero_copy_only=False).astype(bool)
             for a, b in zip(begin, begin[1:], strict=False):
-                x, y = pairs(g[a:b], fp[a:b], code[a:b])
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
+                made = pairs(g[a:b], fp[a:b], code[a:b], mine[a:b])
+                if len(made[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(m) for m in made], ["x", "y", "away"])
 
     return run
 
 
+def _reunited(parts: DataFrame, similarity: float, last: bool) -> DataFrame:
+    """Pairs ``x``, ``y`` that may join the parts (crowd, g, fp, code, of; ``of``: the largest part, its rows and the others') of crowds.
+
+    Rows meet in blocks of ``BLOCK`` on either side, so no task holds a crowd."""
+    seat = F.xxhash64("fp", F.lit("seat"))
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    outside = F.col("g") != F.col("of.main")
+    rbs, obs = blocks(F.col("of.outside")), blocks(F.col("of.outside") + F.col("of.inside") if last else F.col("of.inside"))
+    left = parts.where(outside).withColumn("rb", F.pmod(seat, rbs).cast("int")).withColumn("ob", F.explode(F.sequence(F.lit(0), obs - 1))).withColumn("mine", F.lit(True))
+    right = parts if last else parts.where(~outside)
+    right = right.withColumn("ob", F.pmod(seat, obs).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), rbs - 1))).withColumn("mine", F.lit(False))
+    keys = ["crowd", "rb", "ob"]
+    # by a hash, as Spark leaves out a shuffle by a column that a join below is dealt by
+    dealt = left.unionByName(right).drop("of").repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys)
+    met = dealt.mapInArrow(frugal(_between(similarity, last)), "x long, y long, away long")
+    if not last:
+        met = met.groupBy("x").agg(F.min(F.struct("away", "y")).alias("to")).select("x", F.col("to.y").alias("y"))
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
 def _sets(df: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -315,8 +350,9 @@ def near_copies(df: DataFrame, key: str, text: str, similarity: float = SIMILARI
     marked = materialize(_marked(df, key, text, shingle), "shingles")
     entries = materialize(marked.where("key IS NOT NULL AND code IS NOT NULL").groupBy("fp", "code").agg(F.min("key").alias("key")), "entries")
     bits, count = node_shape(entries.count(), similarity)
-    placed = _placed(entries, bits, count).repartition("node").sortWithinPartitions("node")
-    made = placed.mapInArrow(frugal(_candidates(similarity)), "x long, y long, star boolean")
+    placed, stars = _peeled(_placed(entries, bits, count), most_bits(similarity, SKETCH))
+    made = placed.repartition("node").sortWithinPartitions("node").mapInArrow(frugal(_candidates(similarity)), "x long, y long, star boolean")
+    made = made.unionAll(stars) if stars else made
     found = materialize(made.groupBy("x", "y").agg(F.min("star").alias("star")), "candidates")
     # of the stars of many nodes two edges an entry are compared at first; crowds are what all edges connect, so none is lost
     stars = found.where("star")
@@ -335,13 +371,12 @@ def near_copies(df: DataFrame, key: str, text: str, similarity: float = SIMILARI
     for round_ in range(0 if crowds.isEmpty() else ROUNDS + 1):
         group = components(links, "x", "y")
         parts = crowds.join(group, F.col("fp") == F.col("node"), "left").select("crowd", F.coalesce("component", "fp").alias("g"), "fp", "code")
-        several = parts.groupBy("crowd").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select("crowd")
-        parts = materialize(parts.join(several, "crowd"), "parts")
+        sizes = parts.groupBy("crowd", "g").agg(F.count("*").alias("n")).groupBy("crowd").agg(F.max(F.struct("n", "g")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts"))
+        of = F.struct(F.col("top.g").alias("main"), F.col("top.n").alias("inside"), (F.col("all") - F.col("top.n")).alias("outside")).alias("of")
+        parts = materialize(parts.join(sizes.where("parts > 1").select("crowd", of), "crowd"), "parts")
         if parts.isEmpty():
             break
-        # by a hash, as Spark leaves out a shuffle by a column that a join below is dealt by
-        dealt = parts.repartition(F.xxhash64("crowd")).sortWithinPartitions("crowd")
-        more = dealt.mapInArrow(frugal(_between(similarity, round_ == ROUNDS)), "x long, y long").distinct().join(pairs, ["x", "y"], "left_anti")
+        more = _reunited(parts, similarity, round_ == ROUNDS).join(pairs, ["x", "y"], "left_anti")
         links = materialize(links.unionAll(_alike(materialize(more, "pairs"), sets, similarity)).distinct(), "alike")
 
     def link(reps: DataFrame) -> DataFrame:
